@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, hamming
+from . import chat, hamming, packing
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op7_pack": packing.op7_pack,
     "op9_hamming_topk": hamming.op9_hamming_topk,
 }
 ORACLE_SQL = {
