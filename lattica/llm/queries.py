@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, hamming, packing
+from . import chat, decontaminate, hamming, minhash, packing
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op6_minhash_dedup": minhash.op6_minhash_dedup,
     "op7_pack": packing.op7_pack,
     "op9_hamming_topk": hamming.op9_hamming_topk,
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.ORACLE,
+    "op2_decontaminate": decontaminate.ORACLE,
     "op9_hamming_topk": hamming.ORACLE,
 }
