@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, hamming, html_text, minhash, packing, quality
+from . import chat, decontaminate, hamming, html_text, lines, minhash, packing, quality
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_html_text": html_text.op3_html_text,
     "op4_quality": quality.op4_quality,
+    "op5_line_dedup": lines.op5_line_dedup,
     "op6_minhash_dedup": minhash.op6_minhash_dedup,
     "op7_pack": packing.op7_pack,
     "op9_hamming_topk": hamming.op9_hamming_topk,
