@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, hamming, html_text, lines, minhash, packing, pitman_yor, quality
+from . import chat, decontaminate, hamming, html_text, licenses, lines, minhash, packing, pitman_yor, quality
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_minhash_dedup": minhash.op6_minhash_dedup,
     "op7_pack": packing.op7_pack,
     "op10_lm_score": pitman_yor.op10_lm_score,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_hamming_topk": hamming.op9_hamming_topk,
 }
 ORACLE_SQL = {
