@@ -1,7 +1,7 @@
 """Connected groups from candidate buckets, without all pairs of a bucket.
 
 ``group_buckets`` takes (bucket, node) rows and a way to verify pairs, and returns (node, root) for the groups of
-verified links. Pairs that share a bucket are its candidates. First each bucket's nodes meet only its head, the node
+verified links. Pairs that share a bucket and whose sketches are near enough are its candidates. First each bucket's nodes meet only its head, the node
 that shares most with others in all its buckets. What this links is one group. Then, only in buckets that still hold
 several groups, the pairs across groups are verified, all of them: pairs inside a group would change nothing, and so no
 link that matters is lost.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_table, table
@@ -42,10 +42,12 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame, near: Callable[[str, str], Column]) -> tuple[DataFrame, DataFrame]:
     """(node, root) of all nodes with a verified link, and the verified links (a, b).
 
     members: (bucket, node), bucket and node long. verify: from distinct pairs (a, b) the rows that are links.
+    sketches: (node, ...), and near(x, y) the condition on the sketches of the rows with the aliases x and y without
+    which a pair across groups is no candidate; it stands in the join, so other pairs are never rows.
     """
     size = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket", "n")
     shared = table(members.join(size, "bucket").select("bucket", "node", "n"), "buckets")
@@ -58,15 +60,13 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame])
     groups = table(components(links), "groups")
     rooted = shared.select("bucket", "node").join(groups, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-    rest = table(rooted.join(mixed, "bucket"), "mixed")
+    rest = table(rooted.join(mixed, "bucket").join(sketches, "node"), "mixed")
     l, r = rest.alias("l"), rest.alias("r")
-    cross = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.root") < F.col("r.root"))).select(*pair(F.col("l.node"), F.col("r.node"))).distinct()
-    more = table(verify(cross.join(star_of(star), ["a", "b"], "left_anti")), "links")
+    met = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.root") < F.col("r.root")) & near("l", "r")
+    cross = l.join(r, met).select(*pair(F.col("l.node"), F.col("r.node"))).distinct()
+    more = table(verify(cross), "links")
     if more.limit(1).count():
         links = links.unionByName(more)
         groups = table(components(links), "groups")
     return groups, links
 
-
-def star_of(star: DataFrame) -> DataFrame:
-    return star.select("a", "b")

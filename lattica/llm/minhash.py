@@ -73,10 +73,12 @@ def signature(keys: np.ndarray, counts: np.ndarray, m: int = 128) -> np.ndarray:
             t[live] = time[:, -1]
             live, at = live[time[:, -1] < until], at + k
         reg, time, name = (np.concatenate(x) for x in (regs, times, names))
-        order = np.lexsort((time, reg))
-        found, first = np.unique(reg[order], return_index=True)
-        if len(found) == m:
-            return name[order][first]
+        order = np.argsort(-time)
+        out, full = np.zeros(m, np.uint64), np.zeros(m, bool)
+        out[reg[order]] = name[order]  # the earliest is written last
+        full[reg] = True
+        if full.all():
+            return out
         until *= 2
 
 
@@ -89,6 +91,26 @@ def bands(sig: np.ndarray, rows: int = 4) -> np.ndarray:
     return h.view(np.int64)
 
 
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each register, sixteen registers to a 64-bit word."""
+    nibbles = (mix(sig) & np.uint64(15)).reshape(-1, 16)
+    return (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def differing(a: list[Column], b: list[Column]) -> Column:
+    """How many registers of two sketches differ."""
+
+    def one(x: Column, y: Column) -> Column:
+        d = x.bitwiseXOR(y)
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    out = one(a[0], b[0])
+    for x, y in zip(a[1:], b[1:]):
+        out = out + one(x, y)
+    return out
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two multisets of shingles; of two empty ones 1."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -113,9 +135,9 @@ def _values(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, m: int = 128, rows: int = 4) -> DataFrame:
-    """doc_id, node, bands of documents (doc_id, text); a text without words has null for the last two."""
+    """doc_id, node, bands, sketch of documents (doc_id, text); a text without words has null for the last three."""
     prepare(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches):
         last = None
@@ -124,31 +146,36 @@ def signatures(docs: DataFrame, m: int = 128, rows: int = 4) -> DataFrame:
             nodes, out = b.column(1).to_pylist(), []
             for i, node in enumerate(nodes):
                 if node is None:
-                    out.append(None)
+                    out.append((None, None))
                     continue
                 if last is None or last[0] != node:
-                    last = node, bands(signature(*shingles(flat[at[i] : at[i + 1]]), m), rows).tolist()
+                    sig = signature(*shingles(flat[at[i] : at[i + 1]]), m)
+                    last = node, (bands(sig, rows), sketch(sig))
                 out.append(last[1])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], schema=schema)
+            lists = [pa.array([x[k] for x in out], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], schema=schema)
 
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed_words(F.col("text")).alias("words"))
-    return hashed.select("doc_id", _node(F.col("words")).alias("node"), "words").mapInArrow(run, "doc_id long, node long, bands array<long>")
+    return hashed.select("doc_id", _node(F.col("words")).alias("node"), "words").mapInArrow(run, "doc_id long, node long, bands array<long>, sketch array<long>")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, m: int = 128, rows: int = 4) -> DataFrame:
     """node, root for every class of documents (doc_id, text), and its smallest doc_id: node, root, class_id, class_rows.
 
     Texts of equal words are one node. Nodes are linked if the weighted Jaccard similarity of their shingles of five
-    words is at least threshold; classes are what links connect. Texts without words are in no class.
+    words is at least threshold; classes are what links connect. Texts without words are in no class. Candidates share
+    a band; those not met by way of a common head must also not differ in more registers than such texts do.
     """
     signed = table(signatures(docs, m, rows), "signatures")
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = table(nodes, "nodes")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = table(pairs, "pairs")
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        of = docs.select("text", _node(hashed_words(F.col("text"))).alias("node"))
+        wanted = table(nodes.select("node", F.col("doc_id").alias("_first")).join(wanted, "node"), "wanted")
+        few = docs.join(sized(wanted.select("_first").distinct()), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+        of = few.select("text", _node(hashed_words(F.col("text"))).alias("node"))
         texts = table(of.join(sized(wanted), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
         both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -168,7 +195,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, m: int = 128, rows:
         hashed = both.select("a", "b", hashed_words(F.col("left")).alias("left"), hashed_words(F.col("right")).alias("right"))
         return hashed.mapInArrow(run, "a long, b long")
 
-    groups, _ = group_buckets(nodes.select(F.explode("bands").alias("bucket"), "node"), verify)
+    # registers that differ: as many as leave a pair at the threshold out once in some thousand times
+    expected = (1 - threshold) * 15 / 16
+    most = int(m * expected + 3.3 * (m * expected * (1 - expected)) ** 0.5)
+    words = [f"s{i}" for i in range(m // 16)]
+    sketches = nodes.select("node", *[F.element_at("sketch", i + 1).alias(w) for i, w in enumerate(words)])
+    near = lambda x, y: differing(*([F.col(f"{k}.{w}") for w in words] for k in (x, y))) <= most
+    groups, _ = group_buckets(nodes.select(F.explode("bands").alias("bucket"), "node"), verify, sketches, near)
     rooted = nodes.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id", "n")
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_rows"))
     return rooted.join(classes, "root").select("node", "root", "class_id", "class_rows")
