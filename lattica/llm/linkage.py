@@ -42,31 +42,40 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame, near: Callable[[str, str], Column]) -> tuple[DataFrame, DataFrame]:
+def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame | None, near: Callable[[str, str], Column]) -> tuple[DataFrame, DataFrame]:
     """(node, root) of all nodes with a verified link, and the verified links (a, b).
 
     members: (bucket, node), bucket and node long. verify: from distinct pairs (a, b) the rows that are links.
     sketches: (node, ...), and near(x, y) the condition on the sketches of the rows with the aliases x and y without
-    which a pair across groups is no candidate; it stands in the join, so other pairs are never rows.
+    which a pair across groups is no candidate; it stands in the join, so other pairs are never rows. Small sketches
+    can be further columns of members (sketches is None): then near holds for pairs with a head, too.
     """
-    size = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket", "n")
-    shared = table(members.join(size, "bucket").select("bucket", "node", "n"), "buckets")
+    size = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = table(members.join(size, "bucket"), "buckets")
     degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
-    ranked = shared.join(degree, "node").select("bucket", "node", F.struct(F.col("degree"), (-F.col("node")).alias("node")).alias("rank"))
-    head = ranked.groupBy("bucket").agg((-F.max("rank")["node"]).alias("head"))
+    carried = [c for c in members.columns if c not in ("bucket", "node")]
+    ranked = shared.join(degree, "node")
+    head = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), *carried)).alias("top"))
+    head = head.select("bucket", (-F.col("top.minus")).alias("node"), *[F.col(f"top.{c}").alias(c) for c in carried])
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    star = shared.join(head, "bucket").where("node <> head").select(*pair(F.col("node"), F.col("head"))).distinct()
+    l, r = F.col("l.node"), F.col("r.node")
+    met = (F.col("l.bucket") == F.col("r.bucket")) & (l != r)
+    star = shared.alias("l").join(head.alias("r"), met & near("l", "r") if carried else met).select(*pair(l, r)).distinct()
     links = table(verify(star), "links")
     groups = table(components(links), "groups")
-    rooted = shared.select("bucket", "node").join(groups, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    rooted = shared.join(groups, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), *carried)
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-    rest = table(rooted.join(mixed, "bucket").join(sketches, "node"), "mixed")
-    l, r = rest.alias("l"), rest.alias("r")
-    met = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.root") < F.col("r.root")) & near("l", "r")
-    cross = l.join(r, met).select(*pair(F.col("l.node"), F.col("r.node"))).distinct()
+    rest = rooted.join(mixed, "bucket")
+    rest = table(rest if sketches is None else rest.join(sketches, "node"), "mixed")
+    across = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.root") < F.col("r.root")) & near("l", "r")
+    cross = rest.alias("l").join(rest.alias("r"), across).select(*pair(l, r)).distinct()
+    if carried:  # pairs with a head were tried
+        cross = cross.join(star, ["a", "b"], "left_anti")
+    cross = table(cross, "pairs")
+    if cross.isEmpty():
+        return groups, links
     more = table(verify(cross), "links")
-    if more.limit(1).count():
-        links = links.unionByName(more)
-        groups = table(components(links), "groups")
-    return groups, links
-
+    if more.isEmpty():
+        return groups, links
+    links = links.unionByName(more)
+    return table(components(links), "groups"), links
