@@ -17,7 +17,12 @@ def fnv1a32(key: Column) -> Column:
     digits = F.hex(F.encode(key.cast("string"), "UTF-8"))
     n = F.length(digits) / 2
     each = F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
-    byte = lambda i: F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("long")
+
+    def nibble(at: Column) -> Column:
+        code = F.ascii(F.substring(digits, at, F.lit(1)))
+        return F.when(code < 58, code - 48).otherwise(code - 55)
+
+    byte = lambda i: (nibble(i * 2 - 1) * 16 + nibble(i * 2)).cast("long")
     return F.when(key.isNotNull(), F.aggregate(each, F.lit(OFFSET_32).cast("long"), lambda h, i: (h.bitwiseXOR(byte(i)) * PRIME_32).bitwiseAND(0xFFFFFFFF)))
 
 

@@ -7,11 +7,12 @@ import tempfile
 import uuid
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Hops of an unbounded pattern.
-MOST_HOPS = 30
+#: Hops of an unbounded pattern, and rounds between stored tables.
+MOST_HOPS, STORE = 30, 5
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
@@ -77,26 +78,32 @@ def frontier_hops(keys: DataFrame, hops: list[DataFrame]) -> DataFrame:
 def shortest_lengths(starts: DataFrame, edges: DataFrame, low: int, high: int, targets: DataFrame | None = None) -> DataFrame:
     """_start, _end, _len: the fewest edges of a walk of at least low (0 or 1) and at most high edges.
 
-    A round extends only pairs that the round before has found first. Rounds are stored tables, dropped once merged;
-    they end when nothing new is reached, or all targets (_start, _end) are.
+    A round extends only pairs that the round before has found first, and is one job: its pairs are kept (in memory, on
+    disk beyond it, made again if an executor goes) and counted, with those of targets (_start, _end) among them. The
+    rounds end when nothing new is reached or no target is missing. Every STORE rounds the pairs so far become a
+    stored table, which cuts the lineage.
     """
-    spark = edges.sparkSession
     step = edges.select("_from", "_to").distinct()
-    origin = starts.select("_start", F.col("_start").alias("_end")).distinct()
-    found = scratch_table(origin.withColumn("_len", F.lit(0)), "hops")
-    seen, frontier = (found, found) if low == 0 else (found.limit(0), found)
-    layers = [found] if low == 0 else []
+    wanted = None if targets is None else targets.select("_start", "_end").distinct().withColumn("_hit", F.lit(1)).persist()
+    missing = -1 if wanted is None else wanted.count()
+    frontier = starts.select("_start", F.col("_start").alias("_end")).distinct().withColumn("_len", F.lit(0))
+    layers = [frontier] if low == 0 else []
     for k in range(1, high + 1):
         new = frontier.join(step, F.col("_end") == F.col("_from")).select("_start", F.col("_to").alias("_end")).distinct()
         if layers:
-            new = new.join(seen, ["_start", "_end"], "left_anti")
-        frontier = scratch_table(new.withColumn("_len", F.lit(k)), "hops")
+            new = new.join(reduce(DataFrame.unionByName, layers), ["_start", "_end"], "left_anti")
+        frontier = new.withColumn("_len", F.lit(k)).persist(StorageLevel.MEMORY_AND_DISK)
+        counted = frontier if wanted is None else frontier.join(wanted, ["_start", "_end"], "left")
+        n, hits = counted.agg(F.count("*"), F.lit(0) if wanted is None else F.count("_hit")).first()
         layers.append(frontier)
-        seen = reduce(DataFrame.unionByName, layers)
-        if frontier.isEmpty() or (targets is not None and targets.join(seen, ["_start", "_end"], "left_anti").isEmpty()):
+        missing -= hits
+        if not n or missing == 0:
             break
+        if k % STORE == 0:
+            layers = [scratch_table(reduce(DataFrame.unionByName, layers), "hops")]
+            frontier = layers[0].where(F.col("_len") == k)
     out = reduce(DataFrame.unionByName, layers)
-    return out if targets is None else out.join(targets.select("_start", "_end").distinct(), ["_start", "_end"], "left_semi")
+    return out if wanted is None else out.join(wanted, ["_start", "_end"], "left_semi")
 
 
 def all_shortest(starts: DataFrame, edges: DataFrame, low: int, high: int, targets: DataFrame | None = None) -> DataFrame:

@@ -136,7 +136,8 @@ def to_statements(graph: GraphCatalog, table: str) -> DataFrame:
     def literal(f: T.StructField):
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
-            return F.concat(F.lit("'"), F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\\\\\"), "'", r"\\\\'"), F.lit("'"))
+            quoted = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+            return F.concat(F.lit("'"), quoted, F.lit("'"))
         return c.cast("string")
 
     props = F.array_compact(F.array(*[F.concat(F.lit(f"{f.name}: "), literal(f)) for f in t.df.schema]))
