@@ -7,8 +7,7 @@ all others (Teh, 2006).
 
 All customers and tables of one word, in every context, stand in one row, so a sweep seats the words independently and
 in parallel, with the totals of tables by context as of the sweep before; the new totals, a fixed number of sums, are
-all that reaches the driver. The seating of one dish is drawn exactly: customer by customer while few, and then from
-new table to new table. Sweeps draw from hashes, so a lost task draws the same seating again. Predictive probabilities
+all that reaches the driver. Sweeps draw from hashes, so a lost task draws the same seating again. Predictive probabilities
 are averaged over the sweeps that follow the burn-in.
 """
 
@@ -43,10 +42,36 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - low
 
 
+def _quantile(u: np.ndarray, mean: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """A count of most draws of equal chance, with this mean, from a uniform number: by the binomial distribution while
+    the mean is small, else by the normal one of its variance."""
+    out = np.zeros_like(u)
+    small = mean < 8
+    if small.any():
+        n, v = most[small], u[small]
+        p = np.minimum(mean[small] / n, 1 - 1e-9)
+        term, odds = np.exp(n * np.log1p(-p)), p / (1 - p)
+        below, k = term.copy(), np.zeros_like(p)
+        for i in range(1, 40):
+            k += v > below
+            term = term * np.maximum(0, n - i + 1) / i * odds
+            below += term
+        out[small] = k
+    if not small.all():
+        m, v, n = mean[~small], u[~small], most[~small]
+        t = np.sqrt(-2 * np.log(np.minimum(v, 1 - v)))
+        z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t**3)
+        out[~small] = np.round(m + np.where(v < 0.5, -z, z) * np.sqrt(m * np.maximum(0, 1 - m / n)))
+    return np.clip(out, 0, most)
+
+
 def seat(c: np.ndarray, a: np.ndarray, d: float, seeds: np.ndarray, few: int = 24) -> np.ndarray:
     """Tables of dishes with c customers each, where a new table weighs a and old ones i - d*t in all.
 
-    seeds: a 64-bit word for each dish, the source of its random numbers, so that a sweep can be drawn again.
+    The first few customers sit down one by one. Then a dish that will have few tables goes from new table to new
+    table, by the exact distribution of the customers between them; one with many takes customers in runs of a
+    fiftieth of the weight so far, within which chances hardly change. So time grows with the logarithm of c. seeds: a
+    64-bit word for each dish, the source of its random numbers, so that a sweep can be drawn again.
     """
     c, a = np.asarray(c, float), np.asarray(a, float)
     t = np.minimum(c, 1).astype(float)
@@ -58,6 +83,18 @@ def seat(c: np.ndarray, a: np.ndarray, d: float, seeds: np.ndarray, few: int = 2
         new = draw(seeds[live], i) * (i - d * t[live] + a[live]) < a[live]
         t[live] += new
         live = live[c[live] > i + 1]
+    many = a[live] * np.log1p((c[live] - few) / (few + a[live])) > 8
+    runs, live = live[many], live[~many]
+    at, k = np.full(len(runs), float(few)), few
+    while len(runs):
+        k += 1
+        n = np.minimum(c[runs] - at, np.maximum(1, np.floor((at + a[runs]) / 50)))
+        p = a[runs] / (at - d * t[runs] + a[runs])
+        p = a[runs] / (at + (n - 1) / 2 - d * (t[runs] + (n - 1) / 2 * np.minimum(1, p)) + a[runs])
+        t[runs] += _quantile(draw(seeds[runs], k), n * np.minimum(1, p), n)
+        at += n
+        keep = at < c[runs]
+        runs, at = runs[keep], at[keep]
     at, k = np.full(len(live), float(few)), few
     while len(live):
         k += 1
@@ -65,13 +102,14 @@ def seat(c: np.ndarray, a: np.ndarray, d: float, seeds: np.ndarray, few: int = 2
         first = lgamma(at - td + aa) - lgamma(at - td)
         none = lambda j: lgamma(j - td) - lgamma(j - td + aa) + first  # noqa: E731  log probability of no new table up to customer j
         more = none(end) < u
+        live, at, td, aa, end, u, first = (x[more] for x in (live, at, td, aa, end, u, first))
         lo, hi = at.copy(), end.copy()
         while (hi - lo > 1).any():
             mid = np.floor((lo + hi) / 2)
             below = none(mid) < u
             hi, lo = np.where(below, mid, hi), np.where(below, lo, mid)
-        t[live[more]] += 1
-        keep = more & (hi < end)
+        t[live] += 1
+        keep = hi < end
         live, at = live[keep], hi[keep]
     return t
 
