@@ -21,7 +21,7 @@ from .common import prepare
 def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row (id, code) per id: bit i of the code says that component i is over 0. Null and empty vectors have none.
 
-    A null component counts as 0. Of an id that repeats with other vectors the smallest code stays.
+    A null component counts as 0, and so do those that pad a code to whole bytes; only codes of equally many bytes meet. Of an id that repeats with other vectors the smallest code stays.
     """
     prepare(vectors.sparkSession)
     schema = pa.schema([("id", pa.int64()), ("code", pa.binary())])
