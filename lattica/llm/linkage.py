@@ -2,9 +2,10 @@
 
 ``group_buckets`` takes (bucket, node) rows and a way to verify pairs, and returns (node, root) for the groups of
 verified links. Pairs that share a bucket and whose sketches are near enough are its candidates. First each bucket's nodes meet only its head, the node
-that shares most with others in all its buckets. What this links is one group. Then, only in buckets that still hold
-several groups, the pairs across groups are verified, all of them: pairs inside a group would change nothing, and so no
-link that matters is lost.
+that shares most with others in all its buckets. What this links is one group. In buckets that still hold several
+groups the nodes meet another head, drawn by lot, so that a node meets many others but no bucket has more pairs than
+nodes. Then, in the few buckets that are still mixed, the pairs across groups are verified, all of them: pairs inside a
+group would change nothing, and so no link that matters is lost.
 """
 
 from __future__ import annotations
@@ -42,13 +43,14 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame | None, near: Callable[[str, str], Column]) -> tuple[DataFrame, DataFrame]:
+def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame | None, near: Callable[[str, str], Column], rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """(node, root) of all nodes with a verified link, and the verified links (a, b).
 
     members: (bucket, node), bucket and node long. verify: from distinct pairs (a, b) the rows that are links.
     sketches: (node, ...), and near(x, y) the condition on the sketches of the rows with the aliases x and y without
     which a pair across groups is no candidate; it stands in the join, so other pairs are never rows. Small sketches
-    can be further columns of members (sketches is None): then near holds for pairs with a head, too.
+    can be further columns of members (sketches is None): then near holds for pairs with a head, too. rounds: how
+    often mixed buckets try another head, drawn by lot in each bucket, before all pairs across groups are tried.
     """
     size = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = table(members.join(size, "bucket"), "buckets")
@@ -63,19 +65,31 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     star = shared.alias("l").join(head.alias("r"), met & near("l", "r") if carried else met).select(*pair(l, r)).distinct()
     links = table(verify(star), "links")
     groups = table(components(links), "groups")
-    rooted = shared.join(groups, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), *carried)
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-    rest = rooted.join(mixed, "bucket")
+
+    def mixed(members: DataFrame) -> DataFrame:
+        """members with their roots, of the buckets that hold several."""
+        rooted = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
+        return rooted.join(several, "bucket")
+
+    rest = mixed(shared.drop("n"))
     rest = table(rest if sketches is None else rest.join(sketches, "node"), "mixed")
-    across = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.root") < F.col("r.root")) & near("l", "r")
-    cross = rest.alias("l").join(rest.alias("r"), across).select(*pair(l, r)).distinct()
-    if carried:  # pairs with a head were tried
-        cross = cross.join(star, ["a", "b"], "left_anti")
+    across = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.root") != F.col("r.root")) & near("l", "r")
+    for turn in range(rounds):
+        chosen = rest.groupBy("bucket").agg(F.min_by(F.struct(*[c for c in rest.columns if c != "bucket"]), F.xxhash64(F.lit(turn), "bucket", "node")).alias("top")).select("bucket", "top.*")
+        tried = rest.alias("l").join(chosen.alias("r"), across).select(*pair(l, r)).distinct()
+        more = table(verify(tried), "links")
+        if more.isEmpty():
+            break
+        links = table(links.unionByName(more), "links")
+        groups = table(components(links), "groups")
+        rest = table(mixed(rest.drop("root")), "mixed")
+    cross = rest.alias("l").join(rest.alias("r"), across & (F.col("l.root") < F.col("r.root"))).select(*pair(l, r)).distinct()
     cross = table(cross, "pairs")
     if cross.isEmpty():
         return groups, links
     more = table(verify(cross), "links")
     if more.isEmpty():
         return groups, links
-    links = links.unionByName(more)
+    links = table(links.unionByName(more), "links")
     return table(components(links), "groups"), links
