@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -33,11 +34,18 @@ def scratch(spark: SparkSession) -> str:
     return base
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as a Parquet table in the shared folder and read it back: cuts lineage, and survives lost executors."""
+def table(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write df once as a Parquet table in the shared folder and read it back: cuts lineage, and survives lost executors.
+
+    release lets Spark delete the shuffle files that only led to the table, which it else does when the driver happens
+    to collect garbage.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark).rstrip('/')}/lattica/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

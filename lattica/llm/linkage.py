@@ -53,7 +53,7 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     often mixed buckets try another head, drawn by lot in each bucket, before all pairs across groups are tried.
     """
     size = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = table(members.join(size, "bucket"), "buckets")
+    shared = table(members.join(size, "bucket"), "buckets", release=True)
     degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
     carried = [c for c in members.columns if c not in ("bucket", "node")]
     ranked = shared.join(degree, "node")
@@ -73,7 +73,7 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
         return rooted.join(several, "bucket")
 
     rest = mixed(shared.drop("n"))
-    rest = table(rest if sketches is None else rest.join(sketches, "node"), "mixed")
+    rest = table(rest if sketches is None else rest.join(sketches, "node"), "mixed", release=True)
     across = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.root") != F.col("r.root")) & near("l", "r")
     for turn in range(rounds):
         chosen = rest.groupBy("bucket").agg(F.min_by(F.struct(*[c for c in rest.columns if c != "bucket"]), F.xxhash64(F.lit(turn), "bucket", "node")).alias("top")).select("bucket", "top.*")
