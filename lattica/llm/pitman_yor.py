@@ -178,26 +178,53 @@ def own_contexts(texts: DataFrame, share: int = 4000) -> dict[int, int]:
     return {r[0]: i for i, r in enumerate(rows)}
 
 
-def _seated(b: pa.RecordBatch, fixed: dict, history: list[dict]) -> tuple:
-    """Seat the words of a batch in each sweep of history in turn; what the last one seats, and all sweeps' p1."""
-    lists = b.column("cls")
-    off = lists.offsets.to_numpy()
-    word = np.repeat(np.arange(len(b)), np.diff(off))
-    cls, n = lists.flatten().to_numpy(), b.column("n").flatten().to_numpy()
-    keys = b.column("key").to_numpy().view(np.uint64)
-    p1 = b.column("c").to_numpy() / fixed["n"]
+def _parent(b: pa.RecordBatch, fixed: dict, was: dict | None) -> np.ndarray:
+    """The parent's probability of each word: from the seating that the rows hold and its sums, or before any from c."""
+    if was is None:
+        return b.column("c").to_numpy() / fixed["n"]
+    c1, t1 = b.column("c1").to_numpy(), b.column("t1").to_numpy()
+    d1, theta = fixed["d1"], fixed["theta"]
+    return (c1 - d1 * t1 + (theta + d1 * was["tables1"]) / (fixed["v"] + 1)) / (theta + was["customers1"])
+
+
+def _more_p1(b: pa.RecordBatch, p1: np.ndarray, take: bool) -> np.ndarray:
+    """The parent's probabilities of the kept sweeps so far, [word, sweep], with p1 if it is of one."""
+    held = b.column("p1").flatten().to_numpy().reshape(len(b), -1)
+    return np.hstack([held, p1[:, None]]) if take else held
+
+
+_STATE = "key long, c long, cls array<int>, n array<long>, t array<double>, c1 double, t1 double, extra array<double>, p1 array<double>"
+
+
+def _sweep(fixed: dict, number: int, tables: np.ndarray, tables1: float, was: dict | None, burn: int, kept: int):
+    """Seat all words once: from rows of _STATE to rows of _STATE. tables, tables1: sums as of the sweep before; was: its
+    sums, None before the first. extra gathers what a context's own customers give, averaged over kept sweeps."""
     d2, d1, theta = fixed["d2"], fixed["d1"], fixed["theta"]
-    seeds = mix(keys[word] + (cls.astype(np.uint64) + np.uint64(1)) * GOLD)
-    kept = []
-    for s, was in enumerate(history):
-        turn = np.array([s + 1], np.uint64)
-        t = seat(n, (theta + d2 * was["tables"][cls]) * p1[word], d2, mix(seeds ^ turn))
-        c1 = np.bincount(word, t, minlength=len(b))
-        t1 = seat(c1, np.full(len(b), (theta + d1 * was["tables1"]) / (fixed["v"] + 1)), d1, mix(keys ^ mix(turn)))
-        if s + 1 < len(history) or "tables_after" in was:
-            p1 = (c1 - d1 * t1) / (theta + was["customers1_after"]) + (theta + d1 * was["tables1_after"]) / (theta + was["customers1_after"]) / (fixed["v"] + 1)
-        kept.append((t, p1))
-    return word, cls, n, c1, t1, kept
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("cls")
+            off = lists.offsets.to_numpy()
+            word = np.repeat(np.arange(len(b)), np.diff(off))
+            cls, n = lists.flatten().to_numpy(), b.column("n").flatten().to_numpy()
+            keys, turn = b.column("key").to_numpy().view(np.uint64), np.array([number + 1], np.uint64)
+            p1 = _parent(b, fixed, was)
+            seeds = mix(keys[word] + (cls.astype(np.uint64) + np.uint64(1)) * GOLD)
+            t = seat(n, (theta + d2 * tables[cls]) * p1[word], d2, mix(seeds ^ turn))
+            c1 = np.bincount(word, t, minlength=len(b))
+            t1 = seat(c1, np.full(len(b), (theta + d1 * tables1) / (fixed["v"] + 1)), d1, mix(keys ^ mix(turn)))
+            extra = b.column("extra").flatten().to_numpy()
+            if number >= burn:
+                extra = extra + (n - d2 * t) / (theta + fixed["customers"][cls]) / kept
+            every = _more_p1(b, p1, number > burn)
+            zero, each = pa.array(off - off[0]), pa.array(np.arange(len(b) + 1, dtype=np.int32) * every.shape[1])
+            lists = lambda o, x: pa.ListArray.from_arrays(o, pa.array(x))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("key"), b.column("c"), lists(zero, cls), lists(zero, n), lists(zero, t), pa.array(c1), pa.array(t1), lists(zero, extra), lists(each, every.reshape(-1))],
+                names=["key", "c", "cls", "n", "t", "c1", "t1", "extra", "p1"],
+            )
+
+    return run
 
 
 def train(docs: DataFrame, burn: int = 1, kept: int = 2, theta: float = 1.0) -> Model:
@@ -221,41 +248,31 @@ def train(docs: DataFrame, burn: int = 1, kept: int = 2, theta: float = 1.0) ->
     fixed = {"n": n, "v": v, "d2": discount(one, two), "d1": discount(one1, two1), "theta": theta}
     sums = {r[0]: (r[1], r[2]) for r in cells.select(F.explode(F.arrays_zip("cls", "n")).alias("x")).groupBy("x.cls").agg(F.sum("x.n"), F.count("*")).collect()}
     customers = np.array([sums.get(u, (0, 0))[0] for u in range(CONTEXTS)], float)
-    history = [{"tables": np.array([sums.get(u, (0, 0))[1] for u in range(CONTEXTS)], float), "tables1": float(v)}]
-
-    def add_up(past):
-        def run(batches):
-            held = np.zeros(CONTEXTS + 2)
-            for b in batches:
-                _, cls, _, c1, t1, done = _seated(b, fixed, past)
-                held[:CONTEXTS] += np.bincount(cls, done[-1][0], minlength=CONTEXTS)
-                held[CONTEXTS:] += c1.sum(), t1.sum()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CONTEXTS + 2)), pa.array(held)], names=["i", "t"])
-
-        return run
-
-    for _ in range(burn + kept):
-        rows = {r[0]: r[1] for r in cells.mapInArrow(add_up(list(history)), "i long, t double").groupBy("i").agg(F.sum("t")).collect()}
-        held = np.array([rows[i] for i in range(CONTEXTS + 2)])
-        history[-1] |= {"tables_after": held[:CONTEXTS], "customers1_after": held[CONTEXTS], "tables1_after": held[CONTEXTS + 1]}
-        history.append({"tables": held[:CONTEXTS], "tables1": held[CONTEXTS + 1]})
-    history.pop()
-    last = history[burn:]
-    back = np.stack([(theta + fixed["d2"] * x["tables_after"]) / (theta + customers) for x in last], axis=1)
-    unseen = np.array([(theta + fixed["d1"] * x["tables1_after"]) / (theta + x["customers1_after"]) / (v + 1) for x in last])
+    fixed["customers"] = customers
+    tables, tables1 = np.array([sums.get(u, (0, 0))[1] for u in range(CONTEXTS)], float), float(v)
+    none = F.array().cast("array<double>")
+    state = cells.select("key", "c", "cls", "n", none.alias("t"), F.lit(0.0).alias("c1"), F.lit(0.0).alias("t1"), F.transform("n", lambda x: F.lit(0.0)).alias("extra"), none.alias("p1"))
+    last, was, stored = [], None, [cells]
+    for number in range(burn + kept):
+        state = table(state.mapInArrow(_sweep(fixed, number, tables, tables1, was, burn, kept), _STATE), "seated")
+        got = {r[0]: r[1] for r in state.select(F.explode(F.arrays_zip("cls", "t")).alias("x")).groupBy("x.cls").agg(F.sum("x.t")).collect()}
+        c1, t1 = state.agg(F.sum("c1"), F.sum("t1")).first()
+        tables, tables1 = np.array([got.get(u, 0.0) for u in range(CONTEXTS)]), t1
+        was = {"tables": tables, "tables1": t1, "customers1": c1}
+        last += [was] if number >= burn else []
+        drop_table(stored.pop())
+        stored.append(state)
+    back = np.stack([(theta + fixed["d2"] * x["tables"]) / (theta + customers) for x in last], axis=1)
+    unseen = np.array([(theta + fixed["d1"] * x["tables1"]) / (theta + x["customers1"]) / (v + 1) for x in last])
 
     def predict(batches):
         for b in batches:
-            _, cls, count, _, _, done = _seated(b, fixed, history)
-            extra = np.mean([count - fixed["d2"] * t for t, _ in done[burn:]], axis=0) / (theta + customers[cls])
-            off = b.column("cls").offsets
-            p1 = np.stack([p for _, p in done[burn:]], axis=1)
+            every = _more_p1(b, _parent(b, fixed, was), True)
             each = pa.array(np.arange(len(b) + 1, dtype=np.int32) * kept)
-            zero = pa.array(off.to_numpy() - off[0].as_py())
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("c"), pa.ListArray.from_arrays(zero, b.column("cls").flatten()), pa.ListArray.from_arrays(zero, pa.array(extra)), pa.ListArray.from_arrays(each, pa.array(p1.reshape(-1)))], names=["key", "c", "cls", "extra", "p1"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "c", "cls", "extra")), pa.ListArray.from_arrays(each, pa.array(every.reshape(-1)))], names=["key", "c", "cls", "extra", "p1"])
 
-    known = table(cells.mapInArrow(predict, "key long, c long, cls array<int>, extra array<double>, p1 array<double>"), "known")
-    drop_table(cells)
+    known = table(state.mapInArrow(predict, "key long, c long, cls array<int>, extra array<double>, p1 array<double>"), "known")
+    drop_table(state)
 
     def dense(batches):
         for b in batches:
