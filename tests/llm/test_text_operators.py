@@ -203,6 +203,35 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_finds_all_of_the_similarity(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(4000)}"
+    docs, want = [], {}
+    for n in (4, 5, 7, 9, 10, 15, 20, 50, 100, 140):
+        for kind in range(6):
+            base = [word() for _ in range(n)]
+            room = next(k for k in range(n, -1, -1) if 5 * k <= n)  # the most edits of 0.8
+            copy = list(base)
+            if kind < 3:  # substitutions: just similar enough, similar, and one too many
+                edits = (room, max(1, room // 2), room + 1)[kind]
+                for at in rng.sample(range(n), edits):
+                    copy[at] = f"new{rng.randrange(10**9)}"
+                same = 5 * edits <= n
+            elif kind < 5:  # insertions, evenly and at random: longer by a quarter
+                for i in range(n // 4):
+                    copy.insert(5 * i + 2 if kind == 3 else rng.randrange(len(copy)), f"new{rng.randrange(10**9)}")
+                same = True
+            else:  # deletions
+                for _ in range(n // 5):
+                    del copy[rng.randrange(len(copy))]
+                same = len(copy) >= 3
+            i = len(docs)
+            docs += [(i, " ".join(base)), (i + 1, " ".join(copy))]
+            want[i], want[i + 1] = 0, int(same)
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: (len(docs[i][1].split()), got[i], w) for i, w in want.items() if got[i] != w} == {}
+
+
 # ---------------------------------------------------------------- near duplicates
 
 
