@@ -1,14 +1,14 @@
 """Language-model scores by a hierarchical Pitman-Yor model whose seating is sampled by Gibbs sweeps.
 
-The restaurant of a context is that of the word before: each of the most frequent words has one, and all other words
-share one of eight by their kind (has letters beyond ASCII; ends in a letter, stop, symbol or else). The tables of all
-context restaurants are customers of one parent, over all words, whose base is uniform over the words seen and one for
-all others (Teh, 2006).
-
-All customers and tables of one word, in every context, stand in one row, so a sweep seats the words independently and
-in parallel, with the totals of tables by context as of the sweep before; the new totals, a fixed number of sums, are
-all that reaches the driver. Sweeps draw from hashes, so a lost task draws the same seating again. Predictive probabilities
-are averaged over the sweeps that follow the burn-in.
+The restaurant of a context is that of the word before: every word that stands before another has one. The tables of
+all context restaurants are customers of one parent, over all words, whose base is uniform over the words seen and one
+for all others (Teh, 2006).
+
+A dish of a restaurant (word and context) is a row, as are words and contexts. A sweep joins the dishes with the words'
+parent probabilities and the contexts' totals as of the sweep before, seats all dishes independently and in parallel,
+and sums the new tables by word and by context; only the sums over everything reach the driver. Sweeps draw from
+hashes, so a lost task draws the same seating again. Predictive probabilities are averaged over the sweeps that follow
+the burn-in.
 """
 
 from __future__ import annotations
@@ -25,11 +25,6 @@ from .minhash import GOLD, mix
 
 WORD = r"[^\x20\x09-\x0D]+"
 END = "\n"  # no word holds it
-#: Context restaurants: of the most frequent words, and of the kinds of all others.
-OWN, KINDS = 120, 8
-CONTEXTS = OWN + KINDS
-#: Words with at least 1/HOT of all training tokens are looked up beside the texts: at most HOT of them.
-HOT = 65_536
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -125,14 +120,9 @@ def words(text: Column) -> Column:
     return F.array_append(found, F.lit(END))
 
 
-def _kind(word: str) -> int:
-    last = word[-1]
-    return OWN + 4 * (not word.isascii()) + (0 if last.isalnum() else 1 if last in ".,;:?" else 2 if last in "!%*$#&|@+=/<>" else 3)
-
-
 def _slices(batches, column: int, step: int = 1_000_000):
     """Of each batch the rows, a bounded number of tokens at once: batch, from, to, offsets, keys of the distinct words,
-    the words, and which of them each token is."""
+    which of them each token is, and which stands before it (the end at the start of a text: each text ends with it)."""
     from xxhash import xxh3_64_intdigest as h
 
     for b in batches:
@@ -141,196 +131,131 @@ def _slices(batches, column: int, step: int = 1_000_000):
         while at < len(b):
             to = min(len(b), max(at + 1, int(np.searchsorted(offsets, offsets[at] + step, "right")) - 1))
             enc = lists.slice(at, to - at).flatten().dictionary_encode()
-            distinct = enc.dictionary.to_pylist()
-            keys = np.array([h(w.encode("utf-8", "surrogatepass")) for w in distinct], np.uint64).view(np.int64)
-            yield b, at, to, offsets[at : to + 1] - offsets[at], keys, distinct, enc.indices.to_numpy()
+            keys = np.array([h(w.encode("utf-8", "surrogatepass")) for w in enc.dictionary.to_pylist()], np.uint64).view(np.int64)
+            bounds, which = offsets[at : to + 1] - offsets[at], enc.indices.to_numpy().astype(np.int64)
+            before = np.empty(len(which), np.int64)
+            before[1:] = which[:-1]
+            before[bounds[:-1]] = which[bounds[1:] - 1]
+            yield b, at, to, bounds, keys, which, before
             at = to
 
 
-def _contexts(own: dict[int, int], keys: np.ndarray, distinct: list[str], which: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The context of each token: the restaurant of the word before, of the end at the start of a text."""
-    of = np.array([own[k] if k in own else _kind(w) for k, w in zip(keys.tolist(), distinct)], np.int64)
-    before = np.empty(len(which), np.int64)
-    before[1:] = of[which[:-1]]
-    before[bounds[:-1]] = of[which[bounds[1:] - 1]]  # each text ends with the end
-    return before
-
-
 class Model:
-    """A fitted model: the stored words (key, c, cls, extra, p1), hot words as (keys, log10(c + 0.1), log10 probability
-    by context), by context and kept sweep the weight of the parent, and the parent's probability of an unseen word."""
+    """A fitted model: dishes (key, ctx, p, the averaged predictive probability), words (key, c, p1, an array by kept
+    sweep), contexts (ctx, back, the weight of the parent by kept sweep), and the parent's probability of an unseen word."""
 
-    def __init__(self, own: dict[int, int], known: DataFrame | None, hot: tuple, back: np.ndarray, unseen: np.ndarray, n: int, v: int):
-        self.own, self.known, self.hot, self.back, self.unseen, self.n, self.v = own, known, hot, back, unseen, n, v
+    def __init__(self, dishes: DataFrame | None, words: DataFrame | None, contexts: DataFrame | None, unseen: list[float], n: int, v: int):
+        self.dishes, self.words, self.contexts, self.unseen, self.n, self.v = dishes, words, contexts, unseen, n, v
 
 
-def own_contexts(texts: DataFrame, share: int = 4000) -> dict[int, int]:
-    """The words that get restaurants of their own: the OWN with the largest counts, summed over all runs of a million
-    tokens in which they hold at least 1/share. texts: w, the words. No more than share words of a run are sent."""
-
-    def run(batches):
-        for _, _, _, _, keys, _, which in _slices(batches, 0):
-            n = np.bincount(which, minlength=len(keys))
-            big = n * share >= len(which)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[big]), pa.array(n[big])], names=["key", "n"])
-
-    rows = texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(OWN).collect()
-    return {r[0]: i for i, r in enumerate(rows)}
-
-
-def _parent(b: pa.RecordBatch, fixed: dict, was: dict | None) -> np.ndarray:
-    """The parent's probability of each word: from the seating that the rows hold and its sums, or before any from c."""
-    if was is None:
-        return b.column("c").to_numpy() / fixed["n"]
-    c1, t1 = b.column("c1").to_numpy(), b.column("t1").to_numpy()
-    d1, theta = fixed["d1"], fixed["theta"]
-    return (c1 - d1 * t1 + (theta + d1 * was["tables1"]) / (fixed["v"] + 1)) / (theta + was["customers1"])
-
-
-def _more_p1(b: pa.RecordBatch, p1: np.ndarray, take: bool) -> np.ndarray:
-    """The parent's probabilities of the kept sweeps so far, [word, sweep], with p1 if it is of one."""
-    held = b.column("p1").flatten().to_numpy().reshape(len(b), -1)
-    return np.hstack([held, p1[:, None]]) if take else held
-
-
-_STATE = "key long, c long, cls array<int>, n array<long>, t array<double>, c1 double, t1 double, extra array<double>, p1 array<double>"
-
-
-def _sweep(fixed: dict, number: int, tables: np.ndarray, tables1: float, was: dict | None, burn: int, kept: int):
-    """Seat all words once: from rows of _STATE to rows of _STATE. tables, tables1: sums as of the sweep before; was: its
-    sums, None before the first. extra gathers what a context's own customers give, averaged over kept sweeps."""
-    d2, d1, theta = fixed["d2"], fixed["d1"], fixed["theta"]
+def _seated(df: DataFrame, keys: list[str], turn: int, d: float) -> DataFrame:
+    """df with t, the tables of n customers where a new table weighs a; drawn from the hashes of keys and turn."""
 
     def run(batches):
         for b in batches:
-            lists = b.column("cls")
-            off = lists.offsets.to_numpy()
-            word = np.repeat(np.arange(len(b)), np.diff(off))
-            cls, n = lists.flatten().to_numpy(), b.column("n").flatten().to_numpy()
-            keys, turn = b.column("key").to_numpy().view(np.uint64), np.array([number + 1], np.uint64)
-            p1 = _parent(b, fixed, was)
-            seeds = mix(keys[word] + (cls.astype(np.uint64) + np.uint64(1)) * GOLD)
-            t = seat(n, (theta + d2 * tables[cls]) * p1[word], d2, mix(seeds ^ turn))
-            c1 = np.bincount(word, t, minlength=len(b))
-            t1 = seat(c1, np.full(len(b), (theta + d1 * tables1) / (fixed["v"] + 1)), d1, mix(keys ^ mix(turn)))
-            extra = b.column("extra").flatten().to_numpy()
-            if number >= burn:
-                extra = extra + (n - d2 * t) / (theta + fixed["customers"][cls]) / kept
-            every = _more_p1(b, p1, number > burn)
-            zero, each = pa.array(off - off[0]), pa.array(np.arange(len(b) + 1, dtype=np.int32) * every.shape[1])
-            lists = lambda o, x: pa.ListArray.from_arrays(o, pa.array(x))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("key"), b.column("c"), lists(zero, cls), lists(zero, n), lists(zero, t), pa.array(c1), pa.array(t1), lists(zero, extra), lists(each, every.reshape(-1))],
-                names=["key", "c", "cls", "n", "t", "c1", "t1", "extra", "p1"],
-            )
-
-    return run
+            seeds = np.full(len(b), turn + 1, np.uint64)
+            for k in keys:
+                seeds = mix(seeds * GOLD ^ b.column(k).to_numpy().view(np.uint64))
+            t = seat(b.column("n").to_numpy(), b.column("a").to_numpy(), d, seeds)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t)], names=[*b.schema.names, "t"])
+
+    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", t double")
 
 
 def train(docs: DataFrame, burn: int = 1, kept: int = 2, theta: float = 1.0) -> Model:
     """Fit to every document of docs (text). Without documents every word has the same small probability."""
-    spark = docs.sparkSession
-    prepare(spark)
-    texts = docs.select(words(F.col("text")).alias("w"))
-    own = own_contexts(texts)
+    prepare(docs.sparkSession)
 
     def count(batches):
-        for _, _, _, bounds, keys, distinct, which in _slices(batches, 0):
-            cell, n = np.unique(which.astype(np.int64) * CONTEXTS + _contexts(own, keys, distinct, which, bounds), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[cell // CONTEXTS]), pa.array((cell % CONTEXTS).astype(np.int32)), pa.array(n)], names=["key", "cls", "n"])
-
-    pairs = texts.mapInArrow(count, "key long, cls int, n long").groupBy("key", "cls").agg(F.sum("n").alias("n"))
-    cells = table(pairs.groupBy("key").agg(F.sum("n").alias("c"), F.collect_list("cls").alias("cls"), F.collect_list("n").alias("n")), "cells")
-    has = lambda k: F.size(F.filter("n", lambda x: x == k))
-    n, v, one, two, one1, two1 = (x or 0 for x in cells.agg(F.sum("c"), F.count("*"), F.sum(has(1)), F.sum(has(2)), F.sum((F.size("n") == 1).cast("long")), F.sum((F.size("n") == 2).cast("long"))).first())
+        for _, _, _, _, keys, which, before in _slices(batches, 0):
+            cell, n = np.unique(which * len(keys) + before, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[cell // len(keys)]), pa.array(keys[cell % len(keys)]), pa.array(n)], names=["key", "ctx", "n"])
+
+    pairs = docs.select(words(F.col("text")).alias("w")).mapInArrow(count, "key long, ctx long, n long")
+    dishes = table(pairs.groupBy("key", "ctx").agg(F.sum("n").alias("n")), "dishes", release=True)
+    known = table(dishes.groupBy("key").agg(F.sum("n").alias("c"), F.count("*").alias("kinds")), "words")
+    n, v, one1, two1 = (x or 0 for x in known.agg(F.sum("c"), F.count("*"), F.sum((F.col("kinds") == 1).cast("long")), F.sum((F.col("kinds") == 2).cast("long"))).first())
     if not v:
-        return Model(own, None, (np.empty(0, np.int64), np.empty(0), np.empty((0, CONTEXTS))), np.ones((CONTEXTS, 1)), np.ones(1), 0, 0)
-    fixed = {"n": n, "v": v, "d2": discount(one, two), "d1": discount(one1, two1), "theta": theta}
-    sums = {r[0]: (r[1], r[2]) for r in cells.select(F.explode(F.arrays_zip("cls", "n")).alias("x")).groupBy("x.cls").agg(F.sum("x.n"), F.count("*")).collect()}
-    customers = np.array([sums.get(u, (0, 0))[0] for u in range(CONTEXTS)], float)
-    fixed["customers"] = customers
-    tables, tables1 = np.array([sums.get(u, (0, 0))[1] for u in range(CONTEXTS)], float), float(v)
-    none = F.array().cast("array<double>")
-    state = cells.select("key", "c", "cls", "n", none.alias("t"), F.lit(0.0).alias("c1"), F.lit(0.0).alias("t1"), F.transform("n", lambda x: F.lit(0.0)).alias("extra"), none.alias("p1"))
-    last, was, stored = [], None, [cells]
-    for number in range(burn + kept):
-        state = table(state.mapInArrow(_sweep(fixed, number, tables, tables1, was, burn, kept), _STATE), "seated")
-        got = {r[0]: r[1] for r in state.select(F.explode(F.arrays_zip("cls", "t")).alias("x")).groupBy("x.cls").agg(F.sum("x.t")).collect()}
-        c1, t1 = state.agg(F.sum("c1"), F.sum("t1")).first()
-        tables, tables1 = np.array([got.get(u, 0.0) for u in range(CONTEXTS)]), t1
-        was = {"tables": tables, "tables1": t1, "customers1": c1}
-        last += [was] if number >= burn else []
-        drop_table(stored.pop())
-        stored.append(state)
-    back = np.stack([(theta + fixed["d2"] * x["tables"]) / (theta + customers) for x in last], axis=1)
-    unseen = np.array([(theta + fixed["d1"] * x["tables1"]) / (theta + x["customers1"]) / (v + 1) for x in last])
-
-    def predict(batches):
-        for b in batches:
-            every = _more_p1(b, _parent(b, fixed, was), True)
-            each = pa.array(np.arange(len(b) + 1, dtype=np.int32) * kept)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "c", "cls", "extra")), pa.ListArray.from_arrays(each, pa.array(every.reshape(-1)))], names=["key", "c", "cls", "extra", "p1"])
-
-    known = table(state.mapInArrow(predict, "key long, c long, cls array<int>, extra array<double>, p1 array<double>"), "known")
-    drop_table(state)
-
-    def dense(batches):
-        for b in batches:
-            off = b.column("cls").offsets.to_numpy()
-            p = b.column("p1").flatten().to_numpy().reshape(-1, kept) @ back.T / kept
-            p[np.repeat(np.arange(len(b)), np.diff(off)), b.column("cls").flatten().to_numpy()] += b.column("extra").flatten().to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("c"), pa.array([x.tobytes() for x in np.log10(p).astype("<f4")], pa.binary())], names=["key", "c", "p"])
-
-    top = sorted((r[0], r[1], bytes(r[2])) for r in known.where(F.col("c") >= n / HOT).mapInArrow(dense, "key long, c long, p binary").collect())
-    hot = np.array([k for k, *_ in top], np.int64), np.log10(np.array([c for _, c, _ in top], float) + 0.1), np.frombuffer(b"".join(p for *_, p in top), "<f4").reshape(-1, CONTEXTS)
-    return Model(own, known, hot, back, unseen, n, v)
+        return Model(None, None, None, [1.0], 0, 0)
+    one, two = dishes.agg(F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
+    d2, d1 = discount(one, two), discount(one1, two1)
+    contexts = table(dishes.groupBy("ctx").agg(F.sum("n").alias("customers"), F.count("*").cast("double").alias("tables")), "contexts")
+    p1s, backs, unseen, tables1 = known.select("key", (F.col("c") / n).alias("p1")), [], [], float(v)
+    of_word, seated = [], dishes.withColumn("extra", F.lit(0.0))
+    for turn in range(burn + kept):
+        a = ((theta + d2 * F.col("tables")) * F.col("p1")).alias("a")
+        joined = seated.join(p1s, "key").join(contexts, "ctx").select("key", "ctx", "n", "extra", "customers", a)
+        mine = (F.col("n") - d2 * F.col("t")) / (theta + F.col("customers")) / kept if turn >= burn else F.lit(0.0)
+        old, seated = seated, table(_seated(joined, ["key", "ctx"], turn, d2).select("key", "ctx", "n", "t", (F.col("extra") + mine).alias("extra")), "seated", release=True)
+        drop_table(old)
+        contexts = table(seated.groupBy("ctx").agg(F.sum("n").alias("customers"), F.sum("t").alias("tables")), "contexts")
+        parent = seated.groupBy("key").agg(F.sum("t").alias("n")).withColumn("a", F.lit((theta + d1 * tables1) / (v + 1)))
+        parent = table(_seated(parent, ["key"], turn, d1), "parent")
+        customers1, tables1 = parent.agg(F.sum("n"), F.sum("t")).first()
+        base = (theta + d1 * tables1) / (v + 1)
+        p1s = parent.select("key", ((F.col("n") - d1 * F.col("t") + base) / (theta + customers1)).alias("p1"))
+        seated = seated.drop("t")
+        if turn >= burn:
+            of_word.append(p1s)
+            backs.append(contexts.select("ctx", ((theta + d2 * F.col("tables")) / (theta + F.col("customers"))).alias("back")))
+            unseen.append(base / (theta + customers1))
+
+    def gathered(rows: DataFrame, parts: list[DataFrame], key: str, value: str) -> DataFrame:
+        for i, part in enumerate(parts):
+            rows = rows.join(part.withColumnRenamed(value, f"{value}{i}"), key)
+        return rows.withColumn(value, F.array(*[f"{value}{i}" for i in range(len(parts))])).drop(*[f"{value}{i}" for i in range(len(parts))])
+
+    known = table(gathered(known.select("key", "c"), of_word, "key", "p1"), "known")
+    contexts = table(gathered(contexts.select("ctx"), backs, "ctx", "back"), "backs")
+    fitted = seated.join(known, "key").join(contexts, "ctx").select("key", "ctx", "c", (F.col("extra") + _parents(F.col("p1"), F.col("back"), kept)).alias("p"))
+    fitted = table(fitted, "fitted", release=True)
+    drop_table(seated)
+    return Model(fitted, known, contexts, unseen, n, v)
+
+
+def _parents(p1: Column, back: Column, kept: int) -> Column:
+    """What the parent gives, averaged over the kept sweeps."""
+    return sum((F.element_at(p1, k + 1) * F.element_at(back, k + 1) for k in range(kept)), F.lit(0.0)) / kept
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, doc, n_tokens, n_known, train_tokens, base_score, score of documents (doc_id, text). Each row counts.
 
     score is log10 of the averaged predictive probability, token by token; base_score that of the smoothed counts.
-    doc numbers the rows.
+    doc numbers the rows. A context that no training text has leaves all to the parent.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    hot, own = spark.sparkContext.broadcast(model.hot), model.own
+    prepare(docs.sparkSession)
 
     def run(batches):
-        keys, smooth, logs = hot.value
-        for b, at, to, bounds, own_keys, distinct, which in _slices(batches, 1):
-            context = _contexts(own, own_keys, distinct, which, bounds)
-            i = np.minimum(np.searchsorted(keys, own_keys), max(0, len(keys) - 1))
-            hit = (keys[i] == own_keys if len(keys) else np.zeros(len(own_keys), bool))[which]
-            n = to - at
-            row = np.repeat(np.arange(n), np.diff(bounds))
-            place = i[which[hit]]
-            sums = [np.bincount(row[hit], x, minlength=n) for x in ((smooth[place], logs[place, context[hit]]) if len(keys) else (place, place))]
-            off = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[~hit], minlength=n))]).astype(np.int32))
-            rare = pa.ListArray.from_arrays(off, pa.array(own_keys[which[~hit]])), pa.ListArray.from_arrays(off, pa.array(context[~hit].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array(np.diff(bounds).astype(np.int64)), pa.array(np.bincount(row[hit], minlength=n)), *(pa.array(x.astype(float)) for x in sums), *rare], names=["doc_id", "n_tokens", "n_hot", "base", "score", "rare", "context"])
+        for b, at, to, bounds, keys, which, before in _slices(batches, 1):
+            row = np.repeat(np.arange(to - at), np.diff(bounds))
+            order = np.lexsort((before, which, row))
+            r, w, u = row[order], which[order], before[order]
+            start = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (w[1:] != w[:-1]) | (u[1:] != u[:-1])][: len(r)])
+            off = pa.array(np.searchsorted(r[start], np.arange(to - at + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(off, pa.array(x)) for x in (keys[w[start]], keys[u[start]], np.diff(np.r_[start, len(r)]).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(np.diff(bounds).astype(np.int64)), *lists], names=["doc_id", "n_tokens", "key", "ctx", "m"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-    first = table(texts.mapInArrow(run, "doc_id long, n_tokens long, n_hot long, base double, score double, rare array<long>, context array<int>").withColumn("doc", F.monotonically_increasing_id()), "first")
-    odd = first.select("doc", F.explode(F.arrays_zip("rare", "context")).alias("r")).select("doc", F.col("r.rare").alias("key"), F.col("r.context").alias("context"))
-    numbers = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    first = table(texts.mapInArrow(run, "doc_id long, n_tokens long, key array<long>, ctx array<long>, m array<long>").withColumn("doc", F.monotonically_increasing_id()), "first")
+    tokens = first.select("doc", F.explode(F.arrays_zip("key", "ctx", "m")).alias("x")).select("doc", "x.key", "x.ctx", "x.m")
+    unseen = F.array(*[F.lit(float(x)) for x in model.unseen])
     kept = len(model.unseen)
-    of_context = F.element_at(F.array(*[numbers(x / kept) for x in model.back]), F.col("context") + 1)
-    dot = lambda p: sum((F.element_at(of_context, k + 1) * F.element_at(p, k + 1) for k in range(kept)), F.lit(0.0))
-    unseen = F.log10(dot(numbers(model.unseen)))
-    if model.known is None:
-        found = odd.select("doc", F.lit(None).cast("long").alias("c"), F.lit(math.log10(0.1)).alias("base"), unseen.alias("score"))
+    if model.dishes is None:
+        found = tokens.select("doc", "m", F.lit(None).cast("long").alias("c"), F.lit(model.unseen[0]).alias("p"))
     else:
-        at = F.array_position("cls", F.col("context")).cast("int")
-        seen = dot(F.col("p1")) + F.when(at > 0, F.element_at("extra", F.greatest(at, F.lit(1)))).otherwise(0.0)
-        found = odd.join(model.known.where(F.col("c") < model.n / HOT), "key", "left")
-        found = found.select("doc", "c", F.log10(F.coalesce("c", F.lit(0)) + 0.1).alias("base"), F.when(F.col("c").isNull(), unseen).otherwise(F.log10(seen)).alias("score"))
-    sums = found.groupBy("doc").agg(F.count("c").alias("n_odd"), F.sum("base").alias("base_odd"), F.sum("score").alias("score_odd"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        met = tokens.join(model.dishes, ["key", "ctx"], "left")
+        met = table(met, "met", release=True)
+        rest = met.where("p IS NULL").drop("c", "p").join(model.words, "key", "left").join(model.contexts, "ctx", "left")
+        back = F.coalesce("back", F.array(*[F.lit(1.0)] * kept))
+        rest = rest.select("doc", "m", "c", _parents(F.coalesce("p1", unseen), back, kept).alias("p"))
+        found = met.where("p IS NOT NULL").select("doc", "m", "c", "p").unionByName(rest)
+    m = F.col("m")
+    sums = found.groupBy("doc").agg(F.sum(F.when(F.col("c").isNotNull(), m).otherwise(0)).alias("n_known"), F.sum(m * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("base"), F.sum(m * F.log10("p")).alias("score"))
     whole = math.log10(model.n + 0.1 * (model.v + 1))
-    return first.drop("rare", "context").join(sums, "doc", "left").select(
-        "doc_id", "doc", "n_tokens", (F.col("n_hot") + zero("n_odd")).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("base_odd") - F.col("n_tokens") * F.lit(whole)).alias("base_score"), (F.col("score") + zero("score_odd")).alias("score"),
+    return first.select("doc", "doc_id", "n_tokens").join(sums, "doc").select(
+        "doc_id", "doc", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(whole)).alias("base_score"), "score",
     )
 
 

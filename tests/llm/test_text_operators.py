@@ -360,3 +360,13 @@ def test_language_model_sums_to_one(spark):
     none = pitman_yor.train(docs.limit(0))
     assert pitman_yor.score(spark.createDataFrame([(1, None), (1, None), (None, "x")], "doc_id long, text string"), none).count() == 3
     assert pitman_yor.score(docs.limit(0), model).count() == 0
+
+
+def test_language_model_has_a_restaurant_for_every_word(spark):
+    # 600 words of one kind and one count each; only the word before says which follows
+    texts = [f"left{i}x right{i}x" for i in range(600)] * 4
+    model = pitman_yor.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    asked = [f"left{i}x right{i}x" for i in range(0, 600, 50)] + [f"left{i}x right{i + 1}x" for i in range(0, 600, 50)]
+    got = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    assert all(got[i] > got[12 + i] + 1 for i in range(12))
+    assert model.contexts.count() == 1201
