@@ -4,8 +4,9 @@ The DOMs of a host's pages are merged: elements of the same path (tags with thei
 node. Of each node we count, over the host's pages, the presentation (the sequence of children) and the content (the
 blocks of text right inside). Presentation that varies has high entropy and is important; content that is the same on
 many pages has high entropy over the pages and is not. A page then composes the importance of each of its branches
-from its own and its children's, by what their names say of them (menus, adverts, footers: none; article: full), and
-the branches of low importance are cut.
+from its own and its children's, and the branches of low importance are cut, inside articles too. Names are a prior:
+menus, adverts and footers have no importance; on a page with an article or main element what is inside begins with
+full importance and what is outside with none, as if PRIOR pages had said so, and the host's pages outweigh it.
 """
 
 from __future__ import annotations
@@ -33,19 +34,19 @@ NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs footer foot masthead topbar sidebar side aside rail cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login social share sharing comment comments commentlist reply replies respond disqus related recommended widget widgets toolbar pagination pager copyright legal disclaimer skip search".split()
 )
 MAIN_WORDS = frozenset("article post entry story main".split())
-GAMMA, LEAST = 0.9, 0.3
+GAMMA, LEAST, PRIOR = 0.9, 0.3, 2
 
 
 class Node:
-    __slots__ = ("tag", "path", "kids", "noise", "main", "blocks")
+    __slots__ = ("tag", "path", "kids", "noise", "hard", "main", "blocks")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main, self.kids, self.blocks = tag, path, noise, main, [], []
+    def __init__(self, tag: str, path: str, noise: bool, hard: bool, main: bool):
+        self.tag, self.path, self.noise, self.hard, self.main, self.kids, self.blocks = tag, path, noise, hard, main, [], []
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The tree of block elements and, in page order, its blocks of text (element, text). Any input is a page."""
-    root = Node("", "", False, False)
+    root = Node("", "", False, False, False)
     stack, blocks, held = [root], [], []
 
     def flush():
@@ -111,8 +112,10 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                     break
                 if stack[i].tag in SCOPE:
                     break
-        noise, main, name = _noise(tag, m["attrs"], stack[-1])
-        node = Node(tag, f"{stack[-1].path}/{name}", noise or stack[-1].noise, main or stack[-1].main)
+        noise, hard, main, name = _noise(tag, m["attrs"], stack[-1])
+        # words of an ancestor's class do not reach an article or main below it; tags, roles and hiding do
+        above = stack[-1].hard if main else stack[-1].noise
+        node = Node(tag, f"{stack[-1].path}/{name}", noise or above, hard or stack[-1].hard, main or stack[-1].main)
         stack[-1].kids.append(node)
         if tag not in VOID and len(stack) < 400:
             stack.append(node)
@@ -130,8 +133,9 @@ def _skip(page: str, at: int, tag: str) -> int:
     return at
 
 
-def _noise(tag: str, attrs: str, parent: Node) -> tuple[bool, bool, str]:
-    """Whether name and attributes say noise, whether they say main text, and the node's name in the style tree."""
+def _noise(tag: str, attrs: str, parent: Node) -> tuple[bool, bool, bool, str]:
+    """Whether name and attributes say noise, whether by more than words of the class, whether they say main text, and
+    the node's name in the style tree."""
     own = {}
     if attrs.strip():
         own = {k.lower(): entities.unescape((v or "").strip("\"'")) for k, v in _ATTR.findall(attrs)}
@@ -140,11 +144,12 @@ def _noise(tag: str, attrs: str, parent: Node) -> tuple[bool, bool, str]:
     role = own.get("role", "").lower()
     main = tag in ("article", "main") or role in ("main", "article") or own.get("itemprop", "").lower() == "articlebody" or (bool(words & MAIN_WORDS) and bool(words & {"body", "content", "text", "article", "main"}) and tag != "body")
     noise = tag in NOISE_TAGS or role in NOISE_ROLES or (tag == "header" and not parent.main)
-    if words & NOISE_WORDS and tag not in ("body", "html", "article", "main"):
-        noise = True
     if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", own.get("style", ""), re.I):
         noise = True
-    return noise, main, f"{tag}.{'.'.join(sorted(words))}" if words else tag
+    hard = noise
+    if words & NOISE_WORDS and tag not in ("body", "html", "article", "main"):
+        noise = True
+    return noise, hard, main, f"{tag}.{'.'.join(sorted(words))}" if words else tag
 
 
 def style_features(page: str) -> set[tuple[str, int, str]]:
@@ -163,37 +168,62 @@ def style_features(page: str) -> set[tuple[str, int, str]]:
     return out
 
 
-def importance(node: Node, model: dict[str, tuple[float, float]], into: dict[int, float]) -> None:
+def importance(node: Node, model: dict[str, tuple[float, float, int]], into: dict[int, float], prior: bool = False) -> dict[int, float]:
     """Composite importance of every branch below node, by id(): leaves' content, and inner nodes' own presentation
-    with their children's. A node that the host's other pages lack is important."""
-    order, todo = [], [node]
+    with their children's. A node that the host's other pages lack is important, or with prior what its place says.
+    Returned: the importance of each node's own blocks."""
+    order, todo, own = [], [node], {}
     while todo:
         x = todo.pop()
         order.append(x)
         todo += x.kids
     for x in reversed(order):
-        style, content = model.get(x.path, (1.0, 1.0))
-        parts = [into[id(k)] for k in x.kids] + ([content] if x.blocks else [])
+        style, content, m = model.get(x.path, (1.0, 1.0, 0))
+        if prior:
+            style, content = ((PRIOR * x.main + m * v) / (PRIOR + m) for v in (style, content))
+        own[id(x)] = content
+        parts = [into[id(k)] for k in x.kids if not (prior and k.noise)] + ([content] if x.blocks else [])
         inner = sum(parts) / len(parts) if parts else content
         into[id(x)] = (1 - GAMMA) * style + GAMMA * inner if x.kids else inner
+    return own
 
 
-def main_text(page: str, model: dict[str, tuple[float, float]], least: float = LEAST) -> str:
-    """The blocks of the branches that stay, joined by newlines."""
+def main_text(page: str, model: dict[str, tuple[float, float, int]], least: float = LEAST) -> str:
+    """The blocks of the branches that stay, joined by newlines. If none would stay of a page with an article or main
+    element (its text is the same on all pages), that element's stay."""
     root, blocks = parse(page)
     has_main = any(node.main and not node.noise for node, _ in blocks)
     weight: dict[int, float] = {}
+    own = importance(root, model, weight, has_main)
+    holds = _above_main(root) if has_main else set()
     cut: set[int] = set()
-    if not has_main:
-        importance(root, model, weight)
-        todo = [(root, False)]
-        while todo:
-            node, low = todo.pop()
-            low = low or (node.path.count("/") > 2 and weight[id(node)] < least)
+    todo = [(root, False)]
+    while todo:
+        node, low = todo.pop()
+        if id(node) in holds:  # a main element is below: only the node's own blocks are in question
+            if own[id(node)] < least:
+                cut.add(id(node))
+        else:
+            low = low or ((has_main or node.path.count("/") > 2) and weight[id(node)] < least)
             if low:
                 cut.add(id(node))
-            todo += [(k, low) for k in node.kids]
-    return "\n".join(text for node, text in blocks if not node.noise and (node.main if has_main else id(node) not in cut))
+        todo += [(k, low) for k in node.kids]
+    kept = [text for node, text in blocks if not node.noise and id(node) not in cut]
+    return "\n".join(kept or [text for node, text in blocks if has_main and node.main and not node.noise])
+
+
+def _above_main(root: Node) -> set[int]:
+    """The nodes outside of main elements that have one below."""
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo += x.kids
+    out: set[int] = set()
+    for x in reversed(order):
+        if not x.main and any((k.main and not k.noise) or id(k) in out for k in x.kids):
+            out.add(id(x))
+    return out
 
 
 def host_of(url) -> F.Column:
@@ -201,7 +231,7 @@ def host_of(url) -> F.Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, presentation, content of the nodes that at least two pages of a host share; pages: host, html."""
+    """host, path, presentation, content, m (pages) of the nodes that at least two pages of a host share; pages: host, html."""
     prepare(pages.sparkSession)
     schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int32()), ("value", pa.int64())])
 
@@ -219,10 +249,10 @@ def style_tree(pages: DataFrame) -> DataFrame:
         F.max(F.when(kind == 0, d)).alias("m"), F.sum(F.when(kind == 1, d * F.log(d))).alias("dlogd"), F.sum(F.when(kind == 1, d)).alias("sd"),
         F.sum(F.when(kind == 2, F.log(d))).alias("logd"), F.count(F.when(kind == 2, d)).alias("l"),
     ).where("m > 1")
-    m = F.log("m")
-    style = F.coalesce((m * F.col("sd") - F.col("dlogd")) / (F.col("sd") * m), F.lit(1.0))
-    content = F.when(F.col("l") > 0, 1 - F.col("logd") / F.col("l") / m).otherwise(1.0)
-    return nodes.select("host", "path", style.alias("presentation"), content.alias("content"))
+    log_m = F.log("m")
+    style = F.coalesce((log_m * F.col("sd") - F.col("dlogd")) / (F.col("sd") * log_m), F.lit(1.0))
+    content = F.when(F.col("l") > 0, 1 - F.col("logd") / F.col("l") / log_m).otherwise(1.0)
+    return nodes.select("host", "path", style.alias("presentation"), content.alias("content"), "m")
 
 
 def extract_text(pages: DataFrame, least: float = LEAST) -> DataFrame:
@@ -234,7 +264,7 @@ def extract_text(pages: DataFrame, least: float = LEAST) -> DataFrame:
     prepare(pages.sparkSession)
     named = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     tree = table(style_tree(named.select("host", "html")), "styles")
-    sites = tree.groupBy("host").agg(F.collect_list(F.struct("path", "presentation", "content")).alias("tree")).withColumnRenamed("host", "_host")
+    sites = tree.groupBy("host").agg(F.collect_list(F.struct("path", "presentation", "content", "m")).alias("tree")).withColumnRenamed("host", "_host")
     joined = named.join(sized(sites, 2_000), F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "host", "tree")
 
     def run(batches):
@@ -245,7 +275,7 @@ def extract_text(pages: DataFrame, least: float = LEAST) -> DataFrame:
                 if hosts[i] not in models:
                     if len(models) > 1000:
                         models.clear()
-                    models[hosts[i]] = {x["path"]: (x["presentation"], x["content"]) for x in trees[i].as_py() or ()}
+                    models[hosts[i]] = {x["path"]: (x["presentation"], x["content"], x["m"]) for x in trees[i].as_py() or ()}
                 out.append(main_text(page or "", models[hosts[i]], least))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

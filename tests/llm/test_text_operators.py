@@ -143,6 +143,20 @@ def test_style_tree_cuts_repeated_branches(spark):
     assert [got[i].text for i in range(40)] == body and (got[99].text, got[99].n_chars) == ("", 0)
 
 
+def test_style_tree_decides_beside_and_inside_articles(spark):
+    rng = random.Random(1)
+    word = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    body = [word(30) for _ in range(20)]
+    pages = [(i, f"http://in.example/{i}", f"<html><body><article><p>{b}</p><div class=zz><p>same on every page</p></div></article></body></html>") for i, b in enumerate(body)]
+    pages += [(100 + i, f"http://beside.example/{i}", f"<html><body><article><p>one teaser</p></article><div class=content><p>{b}</p></div></body></html>") for i, b in enumerate(body)]
+    pages += [(200 + i, f"http://copies.example/{i}", "<html><body><article><p>copies of one page</p></article></body></html>") for i in range(20)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(20)] == body and [got[100 + i] for i in range(20)] == body
+    assert {got[200 + i] for i in range(20)} == {"copies of one page"}
+    wrapped = "<html><body><div class='layout has-sidebar'><article><p>text</p></article><p>links</p></div><div hidden><article>no</article></div></body></html>"
+    assert html_text.main_text(wrapped, {}) == "text"
+
+
 def test_pages_query(spark, sf):
     got = {r.page_id: r.text for r in QUERIES["op3_html_text"](spark, sf).collect()}
     for p in spark.read.parquet(f"{sf}/pages.parquet").collect():
