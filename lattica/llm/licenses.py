@@ -1,8 +1,10 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance along paths.
 
-DataFrame operations only. Every line of a text, and the text as a whole, is a vector over words; common words of
-prose weigh nothing, so only lines that hold a telling word of some template can have a cosine over 0, and all of
-those are scored. Weights are from counts over all texts. A file whose whole text is a licence, or whose name says so
+DataFrame operations only. Every line of a text, every block of SPANS lines (notices are wrapped), and the text as a
+whole, is a vector over words; common words of prose weigh nothing, so only units that hold a telling word of some
+template can have a cosine over 0, and all of those are scored, blocks from the telling line they begin with. Weights
+are from counts over all texts, and bounded, so that a notice scores alike however many other texts there are. An SPDX
+tag says its licence itself. A file whose whole text is a licence, or whose name says so
 and that holds a notice, is the licence file of its directory; a file without a notice of its own takes the licence of
 the nearest directory above it that has one.
 """
@@ -14,6 +16,11 @@ from pyspark.sql import functions as F
 
 from .common import sized, table
 
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_AS_IS = " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
 #: Notices by licence (public standard wordings; the operator takes any other table of id, text).
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -31,11 +38,29 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0. Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("MIT", _MIT),
+    ("MIT", "MIT License " + _MIT + _AS_IS),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-3-Clause", _BSD + _BSD_3),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", _GNU.format("General Public License", "2")),
+    ("GPL-3.0", _GNU.format("General Public License", "3")),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", _GNU.format("Lesser General Public License", "2.1")),
+    ("LGPL-3.0", _GNU.format("Lesser General Public License", "3")),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", _GNU.format("Affero General Public License", "3")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("proprietary", "Copyright. All rights reserved. Proprietary and confidential."),
 )
 #: Words of prose, which weigh nothing.
 COMMON = tuple("a an and any are as at be by can either except for found free from has have in is it may met of on or other that the their they this to use used was will with without work you your file files information".split())
 WORD = r"[\p{L}\p{N}]+(?:\.[\p{N}]+)*"
+SPDX = r"SPDX-License-Identifier:\s*\(?([A-Za-z0-9][A-Za-z0-9.+-]*)"
+#: Lines of a block, and the most that a word weighs (as one that stands in a thousandth of the texts).
+SPANS, MOST = (2, 3, 4, 6, 8, 12, 16, 24), 6.9
 NAMED = r"(?i)^(un)?(licen[cs]e|copying|notice|copyright)([._-].*)?$"
 
 
@@ -48,32 +73,44 @@ def template_table(spark: SparkSession) -> DataFrame:
 
 
 def scan(files: DataFrame, templates: DataFrame, least: float = 0.7) -> DataFrame:
-    """file_key, unit (line from 0, or -1: the whole text), license, cosine: of each unit that reaches least, its best
+    """file_key, unit (first line from 0, or -1: the whole text), license, cosine: of each unit that reaches least, its best
     template. files: file_key (long), text. Null and empty texts have no units. Ties go to the smaller licence id."""
     spark = files.sparkSession
     shapes = templates.select("license", terms(F.col("notice")).alias("t")).distinct().withColumn("template", F.monotonically_increasing_id())
     shapes = table(shapes.where(F.size("t") > 0), "templates")
     vocabulary = [r[0] for r in shapes.select(F.explode("t").alias("w")).distinct().orderBy("w").collect()]
-    lines = files.select("file_key", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("unit", "line")).select("file_key", "unit", terms(F.col("line")).alias("t"))
-    telling = F.exists("t", lambda w: w.isin(*vocabulary))
-    some = table(lines.where(telling).select("file_key", "unit", "t"), "telling")
+    cut = files.select("file_key", F.split(F.coalesce("text", F.lit("")), "\n").alias("ls"))
+    starts = F.transform(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: F.struct(i.alias("unit"), F.slice("ls", i + 1, max(SPANS)).alias("ls")))
+    lines = cut.select("file_key", F.explode(starts).alias("s")).select("file_key", "s.unit", "s.ls", terms(F.element_at("s.ls", 1)).alias("t"))
+    telling = lambda w: w.isin(*vocabulary)
+    blocks = table(lines.where(F.exists("t", telling)).select("file_key", "unit", "ls"), "telling")
+    some = blocks.select("file_key", "unit", terms(F.element_at("ls", 1)).alias("t"), F.lit(1).alias("span"))
+    spans = [F.when(F.size("ls") >= k, F.struct(F.lit(k).alias("span"), terms(F.array_join(F.slice("ls", 1, k), "\n")).alias("t"))) for k in SPANS]
+    wide = blocks.select("file_key", "unit", F.explode(F.array_compact(F.array(*spans))).alias("s")).select("file_key", "unit", "s.t", "s.span")
+    # where more distinct words stand outside the templates than this, no cosine reaches least
+    inside = F.size(F.filter("t", telling))
+    room = inside * inside * F.lit((1 / least**2 - 1) if least > 0 else float("inf"))
+    wide = wide.where(F.size(F.array_distinct(F.filter("t", lambda w: ~telling(w)))) <= room)
     n = max(1, files.count())
     counted = some.select("file_key", F.explode(F.array_distinct("t")).alias("w")).where(F.col("w").isin(*vocabulary)).distinct().groupBy("w").agg(F.count("*").alias("df"))
-    # a term outside the templates weighs as one that stands in a single text
-    rare = F.log(F.lit(1.0 + n))
+    # a term outside the templates weighs as one that stands in a single text, up to the bound
+    rare = F.least(F.log(F.lit(1.0 + n)) + 0.1, F.lit(MOST))
     idf = {r[0]: r[1] for r in counted.collect()}
-    weights = spark.createDataFrame([(w, float(idf.get(w, 0))) for w in vocabulary] or [("", 0.0)], "w string, df double").select("w", (F.log(F.lit(1.0 + n)) - F.log(1 + F.col("df") / 2) + 0.1).alias("idf"))
+    weights = spark.createDataFrame([(w, float(idf.get(w, 0))) for w in vocabulary] or [("", 0.0)], "w string, df double").select("w", F.least(F.log(F.lit(1.0 + n)) - F.log(1 + F.col("df") / 2) + 0.1, F.lit(MOST)).alias("idf"))
     bag = lambda df, *keys: df.select(*keys, F.explode("t").alias("w")).groupBy(*keys, "w").agg(F.count("*").alias("tf"))
     weigh = lambda df: df.join(F.broadcast(weights), "w", "left").withColumn("x", F.col("tf") * F.coalesce("idf", rare))
     of_template = weigh(bag(shapes, "license", "template"))
     norms = of_template.groupBy("template").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     sides = F.broadcast(of_template.join(norms, "template").select("license", "template", "w", (F.col("x") / F.col("norm")).alias("y")))
     whole_keys = some.select("file_key").distinct()
-    whole = files.select("file_key", "text").join(sized(whole_keys), "file_key", "left_semi").select("file_key", F.lit(-1).alias("unit"), terms(F.col("text")).alias("t"))
-    units = weigh(table(bag(some.unionByName(whole), "file_key", "unit"), "units", release=True))
-    sums = units.groupBy("file_key", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = units.join(sides, "w").groupBy("file_key", "unit", "license", "template").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scored = dots.join(sums, ["file_key", "unit"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= least)
+    whole = files.select("file_key", "text").join(sized(whole_keys), "file_key", "left_semi").select("file_key", F.lit(-1).alias("unit"), terms(F.col("text")).alias("t"), F.lit(0).alias("span"))
+    units = weigh(table(bag(some.unionByName(wide).unionByName(whole), "file_key", "unit", "span"), "units", release=True))
+    sums = units.groupBy("file_key", "unit", "span").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = units.join(sides, "w").groupBy("file_key", "unit", "span", "license", "template").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    scored = dots.join(sums, ["file_key", "unit", "span"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= least).select("file_key", "unit", "license", "cosine")
+    tagged = files.where(F.instr("text", "SPDX-License-Identifier:") > 0).select("file_key", F.posexplode(F.split("text", "\n")).alias("unit", "line"))
+    tagged = tagged.select("file_key", "unit", F.regexp_extract("line", SPDX, 1).alias("license"), F.lit(1.0).alias("cosine")).where("license != ''")
+    scored = scored.unionByName(tagged)
     best = scored.groupBy("file_key", "unit").agg(F.max(F.struct("cosine", "license")).alias("top"), F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("low"))
     return best.select("file_key", "unit", F.col("low.license").alias("license"), (-F.col("low.c")).alias("cosine"))
 

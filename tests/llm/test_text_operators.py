@@ -315,6 +315,21 @@ def test_licenses(spark):
     assert licenses.label_files(df.limit(0), licenses.template_table(spark)).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    import textwrap
+
+    wrap = lambda t, mark="# ": textwrap.indent(textwrap.fill(t, 76), mark)
+    code = "\nint main() { return 0; }\nwhile (waiting) { turn(left); }\n"
+    gpl2 = licenses._GNU.format("General Public License", "2")
+    rows = [("mit.c", "Copyright someone\n" + wrap(licenses._MIT, " * ") + code), ("whole.txt", wrap("MIT License " + licenses._MIT + licenses._AS_IS, "")), ("gpl2.py", wrap(gpl2) + code),
+            ("bsd.py", wrap(licenses._BSD + licenses._BSD_3) + code), ("spdx.py", "# SPDX-License-Identifier: Zlib" + code), ("none.py", code)]
+    for n in (0, 20_000):
+        others = spark.range(n).select(F.concat(F.lit("o/"), "id").alias("path"), F.concat(F.lit("other text number "), "id").alias("text"))
+        df = spark.createDataFrame(rows, "path string, text string").unionByName(others)
+        got = {r.path: r.own_license for r in licenses.label_files(df, licenses.template_table(spark)).where("path NOT LIKE 'o/%'").collect()}
+        assert got == {"mit.c": "MIT", "whole.txt": "MIT", "gpl2.py": "GPL-2.0", "bsd.py": "BSD-3-Clause", "spdx.py": "Zlib", "none.py": None}
+
+
 def test_index_search():
     rng = np.random.default_rng(1)
     codes = np.unique(rng.integers(0, 256, (700, 8), dtype=np.uint8), axis=0)
