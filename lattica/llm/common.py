@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -25,30 +24,48 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """A folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset.
+
+    Only a local master may leave it unset: on a cluster a folder of one machine is none that executors share.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         base = "file://" + tempfile.mkdtemp(prefix="lattica-", dir="/tmp/checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
-def table(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+#: With this setting Spark deletes an execution's shuffle files when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df once as a Parquet table in the shared folder and read it back: cuts lineage, and survives lost executors.
 
-    release lets Spark delete the shuffle files that only led to the table, which it else does when the driver happens
-    to collect garbage.
+    The shuffle files that only led to the table are deleted with the write.
     """
     spark = df.sparkSession
     path = f"{scratch(spark).rstrip('/')}/lattica/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if release:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table that table() wrote, once nothing reads it any more."""
     spark = df.sparkSession

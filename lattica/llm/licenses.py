@@ -104,7 +104,7 @@ def scan(files: DataFrame, templates: DataFrame, least: float = 0.7) -> DataFram
     sides = F.broadcast(of_template.join(norms, "template").select("license", "template", "w", (F.col("x") / F.col("norm")).alias("y")))
     whole_keys = some.select("file_key").distinct()
     whole = files.select("file_key", "text").join(sized(whole_keys), "file_key", "left_semi").select("file_key", F.lit(-1).alias("unit"), terms(F.col("text")).alias("t"), F.lit(0).alias("span"))
-    units = weigh(table(bag(some.unionByName(wide).unionByName(whole), "file_key", "unit", "span"), "units", release=True))
+    units = weigh(table(bag(some.unionByName(wide).unionByName(whole), "file_key", "unit", "span"), "units"))
     sums = units.groupBy("file_key", "unit", "span").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = units.join(sides, "w").groupBy("file_key", "unit", "span", "license", "template").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     scored = dots.join(sums, ["file_key", "unit", "span"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= least).select("file_key", "unit", "license", "cosine")

@@ -1,11 +1,11 @@
 """Connected groups from candidate buckets, without all pairs of a bucket.
 
 ``group_buckets`` takes (bucket, node) rows and a way to verify pairs, and returns (node, root) for the groups of
-verified links. Pairs that share a bucket and whose sketches are near enough are its candidates. First each bucket's nodes meet only its head, the node
-that shares most with others in all its buckets. What this links is one group. In buckets that still hold several
-groups the nodes meet another head, drawn by lot, so that a node meets many others but no bucket has more pairs than
-nodes. Then, in the few buckets that are still mixed, the pairs across groups are verified, all of them: pairs inside a
-group would change nothing, and so no link that matters is lost.
+verified links. First each bucket's nodes meet only its head, the node that shares most with others in all its buckets.
+What this links is one group. While the pairs across groups outnumber the rows, the nodes of buckets that still hold
+several groups meet further heads, drawn by lot, so that a node meets many others but no bucket has more pairs than
+some nodes of it. Then the pairs across groups are verified, all of them: pairs inside a group would change nothing, so
+no link that matters is lost.
 """
 
 from __future__ import annotations
@@ -43,27 +43,35 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame | None, near: Callable[[str, str], Column], rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def _pair(x: Column, y: Column) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def group_buckets(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    sketches: Callable[[DataFrame], DataFrame],
+    near: Callable[[str, str], Column],
+    star_shared: int = 1,
+    heads: int = 6,
+    rounds: int = 4,
+    slack: int = 2,
+) -> tuple[DataFrame, DataFrame]:
     """(node, root) of all nodes with a verified link, and the verified links (a, b).
 
-    members: (bucket, node), bucket and node long. verify: from distinct pairs (a, b) the rows that are links.
-    sketches: (node, ...), and near(x, y) the condition on the sketches of the rows with the aliases x and y without
-    which a pair across groups is no candidate; it stands in the join, so other pairs are never rows. Small sketches
-    can be further columns of members (sketches is None): then near holds for pairs with a head, too. rounds: how
-    often mixed buckets try another head, drawn by lot in each bucket, before all pairs across groups are tried.
+    members: (bucket, node), both long. verify: from distinct pairs (a, b) the rows that are links. sketches: from (node)
+    rows (node, ...), and near(x, y) the condition on the sketches of the rows with the aliases x and y without which a
+    pair across groups is no candidate; it stands in the join, so other pairs are never rows. star_shared: in how many
+    buckets a node has to meet one head to be tried in the first step, which need not find all. rounds: how often at
+    most mixed buckets try heads drawn by lot, as long as there are more pairs across groups than slack for each row.
     """
     size = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = table(members.join(size, "bucket"), "buckets", release=True)
+    shared = table(members.join(size, "bucket"), "buckets")
     degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
-    carried = [c for c in members.columns if c not in ("bucket", "node")]
-    ranked = shared.join(degree, "node")
-    head = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), *carried)).alias("top"))
-    head = head.select("bucket", (-F.col("top.minus")).alias("node"), *[F.col(f"top.{c}").alias(c) for c in carried])
-    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    l, r = F.col("l.node"), F.col("r.node")
-    met = (F.col("l.bucket") == F.col("r.bucket")) & (l != r)
-    star = shared.alias("l").join(head.alias("r"), met & near("l", "r") if carried else met).select(*pair(l, r)).distinct()
-    links = table(verify(star), "links")
+    head = shared.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("top"))
+    head = head.select("bucket", (-F.col("top.minus")).alias("head"))
+    star = shared.join(head, "bucket").where("node != head").groupBy(*_pair(F.col("node"), F.col("head"))).agg(F.count("*").alias("n"))
+    links = table(verify(star.where(F.col("n") >= star_shared).select("a", "b")), "links")
     groups = table(components(links), "groups")
 
     def mixed(members: DataFrame) -> DataFrame:
@@ -72,24 +80,32 @@ def group_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
         several = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
         return rooted.join(several, "bucket")
 
-    rest = mixed(shared.drop("n"))
-    rest = table(rest if sketches is None else rest.join(sketches, "node"), "mixed", release=True)
-    across = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.root") != F.col("r.root")) & near("l", "r")
-    for turn in range(rounds):
-        chosen = rest.groupBy("bucket").agg(F.min_by(F.struct(*[c for c in rest.columns if c != "bucket"]), F.xxhash64(F.lit(turn), "bucket", "node")).alias("top")).select("bucket", "top.*")
-        tried = rest.alias("l").join(chosen.alias("r"), across).select(*pair(l, r)).distinct()
-        more = table(verify(tried), "links")
-        if more.isEmpty():
+    def across(more: Column) -> Column:
+        return (F.col("l.bucket") == F.col("r.bucket")) & more & near("l", "r")
+
+    rest = table(mixed(shared.select("bucket", "node")), "mixed")
+    drop_table(shared)
+    known = table(sketches(rest.select("node").distinct()), "sketches")
+    rest = table(rest.join(known, "node"), "mixed")
+    for turn in range(rounds + 1):
+        of = rest.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inner"))
+        rows, left = of.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("inner")) / 2)).first()
+        if not left:
+            return groups, links
+        last = turn == rounds or left <= slack * rows
+        if last:
+            other = rest.alias("r")
+            met = rest.alias("l").join(other, across(F.col("l.root") < F.col("r.root")))
+        else:
+            row = F.struct(*[c for c in rest.columns if c != "bucket"])
+            lots = [F.min_by(row, F.xxhash64(F.lit(heads * turn + i), "bucket", "node")) for i in range(heads)]
+            drawn = rest.groupBy("bucket").agg(F.array(*lots).alias("x")).select("bucket", F.explode(F.array_distinct("x")).alias("x")).select("bucket", "x.*")
+            met = rest.alias("l").join(drawn.alias("r"), across(F.col("l.root") != F.col("r.root")))
+        more = table(verify(met.select(*_pair(F.col("l.node"), F.col("r.node"))).distinct()), "links")
+        if not more.isEmpty():
+            links = table(links.unionByName(more), "links")
+            groups = table(components(links), "groups")
+            rest = rest if last else table(mixed(rest.drop("root")), "mixed")
+        if last:
             break
-        links = table(links.unionByName(more), "links")
-        groups = table(components(links), "groups")
-        rest = table(mixed(rest.drop("root")), "mixed")
-    cross = rest.alias("l").join(rest.alias("r"), across & (F.col("l.root") < F.col("r.root"))).select(*pair(l, r)).distinct()
-    cross = table(cross, "pairs")
-    if cross.isEmpty():
-        return groups, links
-    more = table(verify(cross), "links")
-    if more.isEmpty():
-        return groups, links
-    links = table(links.unionByName(more), "links")
-    return table(components(links), "groups"), links
+    return groups, links

@@ -172,7 +172,7 @@ def train(docs: DataFrame, burn: int = 1, kept: int = 2, theta: float = 1.0) ->
             yield pa.RecordBatch.from_arrays([pa.array(keys[cell // len(keys)]), pa.array(keys[cell % len(keys)]), pa.array(n)], names=["key", "ctx", "n"])
 
     pairs = docs.select(words(F.col("text")).alias("w")).mapInArrow(count, "key long, ctx long, n long")
-    dishes = table(pairs.groupBy("key", "ctx").agg(F.sum("n").alias("n")), "dishes", release=True)
+    dishes = table(pairs.groupBy("key", "ctx").agg(F.sum("n").alias("n")), "dishes")
     known = table(dishes.groupBy("key").agg(F.sum("n").alias("c"), F.count("*").alias("kinds")), "words")
     n, v, one1, two1 = (x or 0 for x in known.agg(F.sum("c"), F.count("*"), F.sum((F.col("kinds") == 1).cast("long")), F.sum((F.col("kinds") == 2).cast("long"))).first())
     if not v:
@@ -186,7 +186,7 @@ def train(docs: DataFrame, burn: int = 1, kept: int = 2, theta: float = 1.0) ->
         a = ((theta + d2 * F.col("tables")) * F.col("p1")).alias("a")
         joined = seated.join(p1s, "key").join(contexts, "ctx").select("key", "ctx", "n", "extra", "customers", a)
         mine = (F.col("n") - d2 * F.col("t")) / (theta + F.col("customers")) / kept if turn >= burn else F.lit(0.0)
-        old, seated = seated, table(_seated(joined, ["key", "ctx"], turn, d2).select("key", "ctx", "n", "t", (F.col("extra") + mine).alias("extra")), "seated", release=True)
+        old, seated = seated, table(_seated(joined, ["key", "ctx"], turn, d2).select("key", "ctx", "n", "t", (F.col("extra") + mine).alias("extra")), "seated")
         drop_table(old)
         contexts = table(seated.groupBy("ctx").agg(F.sum("n").alias("customers"), F.sum("t").alias("tables")), "contexts")
         parent = seated.groupBy("key").agg(F.sum("t").alias("n")).withColumn("a", F.lit((theta + d1 * tables1) / (v + 1)))
@@ -208,7 +208,7 @@ def train(docs: DataFrame, burn: int = 1, kept: int = 2, theta: float = 1.0) ->
     known = table(gathered(known.select("key", "c"), of_word, "key", "p1"), "known")
     contexts = table(gathered(contexts.select("ctx"), backs, "ctx", "back"), "backs")
     fitted = seated.join(known, "key").join(contexts, "ctx").select("key", "ctx", "c", (F.col("extra") + _parents(F.col("p1"), F.col("back"), kept)).alias("p"))
-    fitted = table(fitted, "fitted", release=True)
+    fitted = table(fitted, "fitted")
     drop_table(seated)
     return Model(fitted, known, contexts, unseen, n, v)
 
@@ -245,7 +245,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         found = tokens.select("doc", "m", F.lit(None).cast("long").alias("c"), F.lit(model.unseen[0]).alias("p"))
     else:
         met = tokens.join(model.dishes, ["key", "ctx"], "left")
-        met = table(met, "met", release=True)
+        met = table(met, "met")
         rest = met.where("p IS NULL").drop("c", "p").join(model.words, "key", "left").join(model.contexts, "ctx", "left")
         back = F.coalesce("back", F.array(*[F.lit(1.0)] * kept))
         rest = rest.select("doc", "m", "c", _parents(F.coalesce("p1", unseen), back, kept).alias("p"))
