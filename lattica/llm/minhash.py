@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, sized, table
+from .common import fresh, prepare, sized, table
 from .linkage import group_buckets
 
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -137,7 +137,6 @@ def _values(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 def signatures(docs: DataFrame, m: int = 128, rows: int = 4) -> DataFrame:
     """doc_id, node, bands, sketch of documents (doc_id, text); a text without words has null for the last three."""
     prepare(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches):
         last = None
@@ -153,10 +152,10 @@ def signatures(docs: DataFrame, m: int = 128, rows: int = 4) -> DataFrame:
                     last = node, (bands(sig, rows), sketch(sig))
                 out.append(last[1])
             lists = [pa.array([x[k] for x in out], pa.list_(pa.int64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["doc_id", "node", "bands", "sketch"])
 
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed_words(F.col("text")).alias("words"))
-    return hashed.select("doc_id", _node(F.col("words")).alias("node"), "words").mapInArrow(run, "doc_id long, node long, bands array<long>, sketch array<long>")
+    hashed = docs.select("doc_id", hashed_words(F.col("text")).alias("words"))
+    return hashed.select("doc_id", _node(F.col("words")).alias("node"), "words").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, bands array<long>, sketch array<long>")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, m: int = 128, rows: int = 4) -> DataFrame:
@@ -195,13 +194,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, m: int = 128, rows:
         hashed = both.select("a", "b", hashed_words(F.col("left")).alias("left"), hashed_words(F.col("right")).alias("right"))
         return hashed.mapInArrow(run, "a long, b long")
 
-    # registers that differ: as many as leave a pair at the threshold out once in some thousand times
+    # registers that differ: as many as leave a pair at the threshold out once in some hundred thousand times
     expected = (1 - threshold) * 15 / 16
-    most = int(m * expected + 3.3 * (m * expected * (1 - expected)) ** 0.5)
+    most = int(m * expected + 4.5 * (m * expected * (1 - expected)) ** 0.5)
     words = [f"s{i}" for i in range(m // 16)]
-    sketches = nodes.select("node", *[F.element_at("sketch", i + 1).alias(w) for i, w in enumerate(words)])
+    sketches = lambda some: nodes.join(some, "node", "left_semi").select("node", *[F.element_at("sketch", i + 1).alias(w) for i, w in enumerate(words)])
     near = lambda x, y: differing(*([F.col(f"{k}.{w}") for w in words] for k in (x, y))) <= most
-    groups, _ = group_buckets(nodes.select(F.explode("bands").alias("bucket"), "node"), verify, sketches, near)
+    groups, _ = group_buckets(nodes.select(F.explode("bands").alias("bucket"), "node"), verify, sketches, near, star_shared=2)
     rooted = nodes.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id", "n")
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_rows"))
     return rooted.join(classes, "root").select("node", "root", "class_id", "class_rows")
@@ -214,10 +213,11 @@ def label_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     a class of nulls. Columns of docs with these names are replaced.
     """
     docs = docs.drop("class_id", "class_rows")
-    classes = table(near_duplicates(docs.select("doc_id", "text"), threshold), "classes").select(F.col("node").alias("_node_of"), "class_id", "class_rows")
-    keyed = docs.withColumn("_node", _node(hashed_words(F.col("text"))))
-    return keyed.join(classes, F.col("_node") == F.col("_node_of"), "left").select(
-        *docs.columns, F.when(F.col("_node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_rows", F.lit(1)).alias("class_rows")
+    node, key = fresh(docs, "_node_of"), fresh(docs, "_node")
+    classes = table(near_duplicates(docs.select("doc_id", "text"), threshold), "classes").select(F.col("node").alias(node), "class_id", "class_rows")
+    keyed = docs.withColumn(key, _node(hashed_words(F.col("text"))))
+    return keyed.join(classes, F.col(key) == F.col(node), "left").select(
+        *docs.columns, F.when(F.col(key).isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_rows", F.lit(1)).alias("class_rows")
     )
 
 

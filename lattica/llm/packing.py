@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into fixed-length sequences by a linear grouping scheme.
 
 Lengths are at most the capacity, so however many documents there are, the plan is made from a histogram of at most
-``capacity`` counts. Large lengths (over a fifth of the capacity, so at most four share a sequence) are sorted and cut
+``capacity`` counts. Large lengths (over a third of the capacity, so at most two share a sequence) are sorted and cut
 into groups of equal cardinality; each group counts as its longest length. Column generation finds the best mix of
 configurations of the few rounded lengths; its whole parts are kept, the actual documents of each group are put in the
 places, and what is left of the large ones and all small ones go best-fit into the room that remains. The plan is a
@@ -26,8 +26,10 @@ from .common import prepare, sized, table
 PATTERN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
 END_ID = 2
+#: Groups of the large documents: each holds one of so many parts of them, so rounding up costs little.
+GROUPS = 4_000
 #: Cached pieces of a worker, and tokens handled at once.
-CACHE, STEP = 300_000, 1_000_000
+CACHE, STEP = 100_000, 1_000_000
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -124,14 +126,21 @@ def cut_documents(docs: DataFrame, capacity: int = 1024, paths: tuple[str, str]
     text = F.coalesce("text", F.lit(""))
     odd = F.contains(text, F.lit(SPECIAL))
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(F.when(odd, "").otherwise(text), F.lit(PATTERN), F.lit(0)).alias("parts"), F.when(odd, text).alias("special"))
-    return parts.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _cache(ranks_path).clear()  # idle workers stay small
+
+    return parts.mapInArrow(task, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
 
 # ---------------------------------------------------------------- the plan
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
-    """How often to use which configuration (counts by size): column generation for sizes over a fifth of the capacity."""
+    """How often to use which configuration (counts by size): column generation for sizes of which at most four share a sequence."""
     k = len(sizes)
     columns = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / np.diag(columns))
@@ -170,13 +179,16 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     return [(columns[:, c].astype(int), float(x[c])) for c in range(k) if x[c] >= 1]
 
 
-def make_plan(counts: dict[int, int], capacity: int = 1024, groups: int = 160) -> list[tuple[int, list[int]]]:
-    """Runs (number of sequences, lengths in each) that hold counts[length] documents of each length, none left out."""
+def make_plan(counts: dict[int, int], capacity: int = 1024, groups: int = GROUPS) -> list[tuple[int, list[int]]]:
+    """Runs (number of sequences, lengths in each) that hold counts[length] documents of each length, none left out.
+
+    Without groups it is best-fit decreasing alone, to compare with.
+    """
     left = {s: int(c) for s, c in counts.items() if c}
     runs: list[tuple[int, list[int]]] = []
     if c := left.pop(capacity, 0):
         runs.append((c, [capacity]))
-    large = sorted((s for s in left if s > capacity // 5), reverse=True)
+    large = sorted((s for s in left if 3 * s > capacity), reverse=True)
     total = sum(left[s] for s in large)
     opened: list[tuple[int, list[int]]] = []
     if groups and total:
@@ -258,11 +270,6 @@ def make_plan(counts: dict[int, int], capacity: int = 1024, groups: int = 160) -
     return runs + [run for r in by_room.values() for run in r]
 
 
-def best_plan(counts: dict[int, int], capacity: int = 1024) -> list[tuple[int, list[int]]]:
-    """The plan with the fewest sequences for a few numbers of groups; 0 groups is best-fit decreasing alone."""
-    return min((make_plan(counts, capacity, g) for g in (240, 80, 0)), key=lambda runs: sum(n for n, _ in runs))
-
-
 def pack(pieces: DataFrame, capacity: int = 1024, salt_rows: int = 2_000_000) -> DataFrame:
     """Give each piece (a row with doc_id, piece, length, ids_crc32; other columns stay) a sequence_id and an offset.
 
@@ -272,7 +279,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, salt_rows: int = 2_000_000) ->
     salts = max(1, -(-pieces.count() // salt_rows)) * 4
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = table(salted.groupBy("length", "_salt").count(), "lengths")
-    runs = best_plan({r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}, capacity)
+    runs = make_plan({r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}, capacity)
     places: dict[int, list[tuple[int, int, int]]] = {}
     base = 0
     for n, sizes in runs:

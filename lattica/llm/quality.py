@@ -20,6 +20,8 @@ TOKEN = r"(?U)\w+|[^\w\s]+"
 WIDTH = 1 << 18
 #: At most so many labelled rows are used to fit, those with the smallest hashes of their doc_id.
 MAX_ROWS = 8_000
+#: Codes of tokens that a worker keeps while it has a task.
+CACHE = 100_000
 _known: dict[str, tuple[int, int]] = {}
 
 
@@ -34,7 +36,7 @@ def _codes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-case token and of its shape."""
     from xxhash import xxh3_64_intdigest as h
 
-    if len(_known) > 300_000:
+    if len(_known) > CACHE:
         _known.clear()
     out = []
     for t in tokens:
@@ -76,6 +78,18 @@ def _each(column: pa.ListArray, step: int = 1_000_000):
         at = to
 
 
+def _forgetting(run):
+    """run, and the tokens it remembers are forgotten when its task ends: idle workers stay small."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _known.clear()
+
+    return task
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int = 12, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights of the indicators, their log-count ratios, and the bias. Without two classes all weights are 0."""
     y = np.where(labels > 0, 1.0, -1.0)
@@ -123,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, label: s
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), xs], names=["doc_id", "y", "x"])
 
     of = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", _tokens(F.col("text")).alias("t"))
-    rows = sorted((r[0], r[1], bytes(r[2])) for r in of.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary").collect())
+    rows = sorted((r[0], r[1], bytes(r[2])) for r in of.mapInArrow(_forgetting(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary").collect())
     return fit([np.frombuffer(x, "<i4") for *_, x in rows], np.array([y for _, y, _ in rows]))
 
 
@@ -147,7 +161,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(out, pa.float64())], names=[*names, "score"])
 
     out_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
-    return docs.select(*names, _tokens(F.col("text")).alias("_tokens")).mapInArrow(run, out_type)
+    return docs.select(*names, _tokens(F.col("text")).alias("_tokens")).mapInArrow(_forgetting(run), out_type)
 
 
 def learn_from(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:

@@ -55,3 +55,12 @@ def test_plan_holds_all():
                 for s in sizes:
                     held[s] += n
             assert held == counts
+
+
+def test_grouping_is_near_the_bound():
+    """Linear grouping alone: at most a thousandth and a few sequences over the volume, or over best-fit decreasing."""
+    rng = np.random.default_rng(4)
+    for lengths in (rng.integers(1, 1025, 30000), np.minimum(1024, rng.lognormal(5.5, 1, 50000).astype(int) + 1), rng.integers(345, 700, 20000)):
+        counts = dict(zip(*(a.tolist() for a in np.unique(lengths, return_counts=True))))
+        grouped, plain = (sum(n for n, _ in packing.make_plan(counts, 1024, g)) for g in (packing.GROUPS, 0))
+        assert grouped <= max(-(-int(lengths.sum()) // 1024), plain) * 1.001 + 3
