@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, prepare, sized, table
+from .common import fresh, key128, prepare, sized, table
 from .linkage import group_buckets
 
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -135,14 +135,15 @@ def _values(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, m: int = 128, rows: int = 4) -> DataFrame:
-    """doc_id, node, bands, sketch of documents (doc_id, text); a text without words has null for the last three."""
+    """doc_id, h1, h2 (of the text), node, bands, sketch of documents (doc_id, text); a text without words has null for
+    the last three."""
     prepare(docs.sparkSession)
 
     def run(batches):
         last = None
         for b in batches:
-            flat, at = _values(b.column(2))
-            nodes, out = b.column(1).to_pylist(), []
+            flat, at = _values(b.column(4))
+            nodes, out = b.column(3).to_pylist(), []
             for i, node in enumerate(nodes):
                 if node is None:
                     out.append((None, None))
@@ -152,30 +153,37 @@ def signatures(docs: DataFrame, m: int = 128, rows: int = 4) -> DataFrame:
                     last = node, (bands(sig, rows), sketch(sig))
                 out.append(last[1])
             lists = [pa.array([x[k] for x in out], pa.list_(pa.int64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["doc_id", "node", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *lists], names=["doc_id", "h1", "h2", "node", "bands", "sketch"])
 
-    hashed = docs.select("doc_id", hashed_words(F.col("text")).alias("words"))
-    return hashed.select("doc_id", _node(F.col("words")).alias("node"), "words").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, bands array<long>, sketch array<long>")
+    h1, h2 = key128(F.col("text"))
+    hashed = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), hashed_words(F.col("text")).alias("words"))
+    return hashed.select("doc_id", "h1", "h2", _node(F.col("words")).alias("node"), "words").mapInArrow(
+        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h1 long, h2 long, node long, bands array<long>, sketch array<long>"
+    )
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, m: int = 128, rows: int = 4) -> DataFrame:
-    """node, root for every class of documents (doc_id, text), and its smallest doc_id: node, root, class_id, class_rows.
+    """h1, h2 (hashes of a text) of every text of documents (doc_id, text) with words, class_id, the smallest doc_id of
+    its class, and class_rows.
 
     Texts of equal words are one node. Nodes are linked if the weighted Jaccard similarity of their shingles of five
     words is at least threshold; classes are what links connect. Texts without words are in no class. Candidates share
     a band; those not met by way of a common head must also not differ in more registers than such texts do.
     """
-    signed = table(signatures(docs, m, rows), "signatures")
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    signed = table(signatures(docs, m, rows), "signatures").where("node IS NOT NULL")
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.min(F.struct("h1", "h2")).alias("text"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = table(nodes, "nodes")
+    members = nodes.select(F.explode("bands").alias("bucket"), "node")
+    several = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = table(members.join(several, "bucket"), "shared")
+    # the texts that can be asked for, fetched once by their hashes
+    first = nodes.select("node", "text.h1", "text.h2").join(shared.select("node").distinct(), "node", "left_semi")
+    h1, h2 = key128(F.col("text"))
+    found = docs.select("text", h1.alias("h1"), h2.alias("h2")).join(sized(table(first, "first")), ["h1", "h2"])
+    texts = table(found.groupBy("node").agg(F.first("text").alias("text")), "texts", "zstd")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = table(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = table(nodes.select("node", F.col("doc_id").alias("_first")).join(wanted, "node"), "wanted")
-        few = docs.join(sized(wanted.select("_first").distinct()), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-        of = few.select("text", _node(hashed_words(F.col("text"))).alias("node"))
-        texts = table(of.join(sized(wanted), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
         both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -200,25 +208,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, m: int = 128, rows:
     words = [f"s{i}" for i in range(m // 16)]
     sketches = lambda some: nodes.join(some, "node", "left_semi").select("node", *[F.element_at("sketch", i + 1).alias(w) for i, w in enumerate(words)])
     near = lambda x, y: differing(*([F.col(f"{k}.{w}") for w in words] for k in (x, y))) <= most
-    groups, _ = group_buckets(nodes.select(F.explode("bands").alias("bucket"), "node"), verify, sketches, near, star_shared=2)
+    groups, _ = group_buckets(shared, verify, sketches, near, star_shared=2, rounds=2)
     rooted = nodes.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id", "n")
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_rows"))
-    return rooted.join(classes, "root").select("node", "root", "class_id", "class_rows")
+    of = table(rooted.join(classes, "root").select("node", "class_id", "class_rows"), "classes")
+    return signed.select("h1", "h2", "node").distinct().join(of, "node").select("h1", "h2", "class_id", "class_rows")
 
 
 def label_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """docs with class_id (the smallest doc_id of its near-duplicate class) and class_rows; other columns stay.
 
     A document without words is a class of its own: its own doc_id, 1 row. A null doc_id can only be the class_id of
-    a class of nulls. Columns of docs with these names are replaced.
+    a class of nulls. doc_id may be of any type that has an order. Columns of docs with these names are replaced.
     """
     docs = docs.drop("class_id", "class_rows")
-    node, key = fresh(docs, "_node_of"), fresh(docs, "_node")
-    classes = table(near_duplicates(docs.select("doc_id", "text"), threshold), "classes").select(F.col("node").alias(node), "class_id", "class_rows")
-    keyed = docs.withColumn(key, _node(hashed_words(F.col("text"))))
-    return keyed.join(classes, F.col(key) == F.col(node), "left").select(
-        *docs.columns, F.when(F.col(key).isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_rows", F.lit(1)).alias("class_rows")
-    )
+    a, b, c = (fresh(docs, x) for x in ("_h1", "_h2", "_rows"))
+    classes = near_duplicates(docs.select("doc_id", "text"), threshold)
+    classes = table(classes.select(F.col("h1").alias(a), F.col("h2").alias(b), "class_id", F.col("class_rows").alias(c)), "labels")
+    h1, h2 = key128(F.col("text"))
+    joined = docs.join(sized(classes), (h1 == F.col(a)) & (h2 == F.col(b)), "left")
+    return joined.select(*[docs[x] for x in docs.columns], F.when(F.col(c).isNull(), docs["doc_id"]).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(c, F.lit(1)).alias("class_rows"))
 
 
 def op6_minhash_dedup(spark, sf_dir: str) -> DataFrame:
