@@ -10,9 +10,12 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Hops of an unbounded pattern, and rounds between stored tables.
 MOST_HOPS, STORE = 30, 5
+#: So many pairs at most are searched for from both ends; their answers are rows on the driver.
+FEW = 1_000
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
@@ -75,19 +78,74 @@ def frontier_hops(keys: DataFrame, hops: list[DataFrame]) -> DataFrame:
     return now
 
 
+def between(pairs: DataFrame, edges: DataFrame, high: int) -> DataFrame:
+    """_start, _end, _len for the pairs (_start, _end, not equal) with a walk of at most high edges.
+
+    Both ends send out a frontier; each round the smaller one goes a step on, so neither grows to the whole graph as
+    long as they can meet before. A pair is found in the round in which its frontiers first meet, and its length is the
+    number of rounds.
+    """
+    ahead = edges.select(F.col("_from").alias("_at"), F.col("_to").alias("_to")).distinct()
+    back = edges.select(F.col("_to").alias("_at"), F.col("_from").alias("_to")).distinct()
+    sides = []
+    for end, step in (("_start", ahead), ("_end", back)):
+        first = pairs.select(end, F.col(end).alias("_at")).distinct()
+        sides.append({"end": end, "step": step, "front": first, "seen": first, "n": first.count()})
+    open_, found, kept = pairs.select("_start", "_end").distinct(), [], []
+    spark = pairs.sparkSession
+    for k in range(1, high + 1):
+        if not all(s["n"] for s in sides):
+            break
+        s, other = sides if sides[0]["n"] <= sides[1]["n"] else sides[::-1]
+        new = s["front"].join(s["step"], "_at").select(s["end"], F.col("_to").alias("_at")).distinct()
+        new = new.join(s["seen"], [s["end"], "_at"], "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(new)
+        s["n"] = new.count()
+        s["front"], s["seen"] = new, s["seen"].unionByName(new)
+        met = new.join(other["seen"], "_at").join(open_, ["_start", "_end"]).select("_start", "_end").distinct().collect()
+        if met:
+            found += [(*r, k) for r in met]
+            rows = spark.createDataFrame(met, pairs.select("_start", "_end").schema)
+            open_ = open_.join(F.broadcast(rows), ["_start", "_end"], "left_anti")
+            if open_.isEmpty():
+                break
+        if k % STORE == 0:
+            for x in sides:
+                x["seen"] = scratch_table(x["seen"], "seen")
+                x["front"] = scratch_table(x["front"], "front")
+    for x in kept:
+        x.unpersist()
+    schema = T.StructType([*pairs.select("_start", "_end").schema, T.StructField("_len", T.IntegerType())])
+    return spark.createDataFrame(found, schema)
+
+
 def shortest_lengths(starts: DataFrame, edges: DataFrame, low: int, high: int, targets: DataFrame | None = None) -> DataFrame:
     """_start, _end, _len: the fewest edges of a walk of at least low (0 or 1) and at most high edges.
 
     A round extends only pairs that the round before has found first, and is one job: its pairs are kept (in memory, on
     disk beyond it, made again if an executor goes) and counted, with those of targets (_start, _end) among them. The
     rounds end when nothing new is reached or no target is missing. Every STORE rounds the pairs so far become a
-    stored table, which cuts the lineage.
+    stored table, which cuts the lineage. A few targets are searched for from both ends (see between).
     """
+    if targets is not None and (few := targets.select("_start", "_end").distinct().limit(FEW + 1).collect()) and len(few) <= FEW:
+        loops = [r for r in few if r[0] == r[1]]  # a loop has an end that is its start: search it from one side
+        apart = starts.sparkSession.createDataFrame([r for r in few if r[0] != r[1]], targets.select("_start", "_end").schema)
+        found = between(apart, edges, high)
+        if not loops:
+            return found
+        starts = starts.sparkSession.createDataFrame([(r[0],) for r in loops], targets.select("_start").schema)
+        targets = starts.select("_start", F.col("_start").alias("_end"))
+        return found.unionByName(_from_starts(starts, edges, low, high, targets))
+    return _from_starts(starts, edges, low, high, targets)
+
+
+def _from_starts(starts: DataFrame, edges: DataFrame, low: int, high: int, targets: DataFrame | None) -> DataFrame:
+    """shortest_lengths from the starts alone."""
     step = edges.select("_from", "_to").distinct()
     wanted = None if targets is None else targets.select("_start", "_end").distinct().withColumn("_hit", F.lit(1)).persist()
     missing = -1 if wanted is None else wanted.count()
     frontier = starts.select("_start", F.col("_start").alias("_end")).distinct().withColumn("_len", F.lit(0))
-    layers = [frontier] if low == 0 else []
+    layers, held = [frontier] if low == 0 else [], []
     for k in range(1, high + 1):
         new = frontier.join(step, F.col("_end") == F.col("_from")).select("_start", F.col("_to").alias("_end")).distinct()
         if layers:
@@ -96,13 +154,16 @@ def shortest_lengths(starts: DataFrame, edges: DataFrame, low: int, high: int, t
         counted = frontier if wanted is None else frontier.join(wanted, ["_start", "_end"], "left")
         n, hits = counted.agg(F.count("*"), F.lit(0) if wanted is None else F.count("_hit")).first()
         layers.append(frontier)
+        held.append(frontier)
         missing -= hits
         if not n or missing == 0:
             break
         if k % STORE == 0:
             layers = [scratch_table(reduce(DataFrame.unionByName, layers), "hops")]
             frontier = layers[0].where(F.col("_len") == k)
-    out = reduce(DataFrame.unionByName, layers)
+    out = scratch_table(reduce(DataFrame.unionByName, layers), "hops")
+    for layer in held:
+        layer.unpersist()
     return out if wanted is None else out.join(wanted, ["_start", "_end"], "left_semi")
 
 

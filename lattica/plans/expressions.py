@@ -37,12 +37,17 @@ class Scope:
 
     def __init__(self, params: dict):
         self.params, self.vars = params, {}
+        self.types: dict[str, str] = {}  # Spark's name of the type of a column
 
     def copy(self) -> Scope:
         out = Scope(self.params)
-        out.vars = dict(self.vars)
+        out.vars, out.types = dict(self.vars), dict(self.types)
         return out
 
+    def note(self, df) -> None:
+        """Remember the types of df's columns."""
+        self.types.update(df.dtypes)
+
     def get(self, name: str) -> Bound:
         if name not in self.vars:
             raise QueryError(f"variable {name} is not in scope")
@@ -97,8 +102,44 @@ _BINARY = {
 }
 
 
+_TEXT_CALLS = ("toupper", "tolower", "tostring", "upper", "lower", "trim", "ltrim", "rtrim", "substring", "left", "right", "replace", "reverse")
+_WHOLE_CALLS = ("size", "length", "tointeger", "count")
+_SPARK_KINDS = {"tinyint": "whole", "smallint": "whole", "int": "whole", "bigint": "whole", "string": "text"}
+
+
+def kind_of(e: object, scope: Scope) -> str:
+    """'whole', 'text', 'list' or '': what is known of an expression's type before it is planned."""
+    if isinstance(e, (A.Lit, A.Param)):
+        v = e.value if isinstance(e, A.Lit) else scope.params.get(e.name)
+        return "text" if isinstance(v, str) else "whole" if isinstance(v, int) and not isinstance(v, bool) else "list" if isinstance(v, (list, tuple)) else ""
+    name = ""
+    if isinstance(e, A.Prop) and isinstance(e.of, A.Var) and e.of.name in scope.vars:
+        name = scope.get(e.of.name).props.get(e.name, "")
+    elif isinstance(e, A.Var) and e.name in scope.vars and scope.get(e.name).kind == "value":
+        name = e.name
+    if name:
+        kind = scope.types.get(name, "")
+        return "list" if kind.startswith("array") else _SPARK_KINDS.get(kind, "")
+    if isinstance(e, A.ListOf):
+        return "list"
+    if isinstance(e, A.Op):
+        kinds = [kind_of(x, scope) for x in e.args]
+        if e.name == "+" and "list" in kinds:
+            return "list"
+        if e.name == "+" and "text" in kinds:
+            return "text"
+        return "whole" if e.name in ("+", "-", "*", "%", "/", "neg") and set(kinds) == {"whole"} else ""
+    if isinstance(e, A.Call):
+        if e.name in _TEXT_CALLS:
+            return "text"
+        if e.name in ("sum", "min", "max", "abs") and e.args:
+            return kind_of(e.args[0], scope)
+        return "whole" if e.name in _WHOLE_CALLS else "list" if e.name in ("collect", "nodes", "rels", "relationships", "labels", "keys") else ""
+    return ""
+
+
 def _textual(e: object, scope: Scope) -> bool:
-    return (isinstance(e, A.Lit) and isinstance(e.value, str)) or (isinstance(e, A.Param) and isinstance(scope.params.get(e.name), str)) or (isinstance(e, A.Op) and e.name == "+" and any(_textual(x, scope) for x in e.args)) or (isinstance(e, A.Call) and e.name in ("toupper", "tolower", "tostring", "upper", "lower", "trim", "substring"))
+    return kind_of(e, scope) == "text"
 
 
 def compile_expr(e: object, scope: Scope, done: dict | None = None) -> Column:
@@ -157,8 +198,8 @@ def compile_expr(e: object, scope: Scope, done: dict | None = None) -> Column:
                 return F.concat(a, b)
             return F.concat(a.cast("string"), b.cast("string")) if any(_textual(x, scope) for x in e.args) else a + b
         if e.name == "/":
-            whole_numbers = all(isinstance(x, A.Lit) and isinstance(x.value, int) for x in e.args)
-            return F.floor(a / b).cast("long") if whole_numbers else a / b
+            # whole numbers divide towards zero
+            return F.call_function("div", a, b) if all(kind_of(x, scope) == "whole" for x in e.args) else a / b
         return _BINARY[e.name](a, b)
     if isinstance(e, A.Call):
         return call(e, scope, go)
@@ -196,12 +237,16 @@ def aggregate(e: A.Call, scope: Scope, go) -> Column:
         return F.count_distinct(x) if e.distinct else F.count(x)
     if e.name == "collect":
         return F.collect_set(x) if e.distinct else F.collect_list(x)
+    if e.name in ("stdev", "percentilecont") and e.distinct:
+        raise QueryError(f"{e.name} takes no DISTINCT")
     if e.name == "stdev":
         return F.stddev(x)
     if e.name == "percentilecont":
         return F.percentile(x, go(e.args[1]))
-    f = {"sum": F.sum_distinct if e.distinct else F.sum, "avg": F.avg, "min": F.min, "max": F.max}[e.name]
-    return F.avg_distinct(x) if e.name == "avg" and e.distinct and hasattr(F, "avg_distinct") else f(x)
+    if e.name == "avg" and e.distinct:
+        n = F.count_distinct(x)
+        return F.when(n > 0, F.sum_distinct(x) / n)
+    return {"sum": F.sum_distinct if e.distinct else F.sum, "avg": F.avg, "min": F.min, "max": F.max}[e.name](x)
 
 
 def identity(v: A.Var, scope: Scope) -> Column:

@@ -20,6 +20,12 @@ from ..operators import paths
 from .expressions import Bound, Scope, aggregate, children, col, compile_expr, conjuncts, has_aggregate, identity, is_aggregate, mentions, name_of, whole
 
 
+def lists(e: object) -> set[str]:
+    """The variables whose nodes or relationships an expression lists."""
+    own = {e.args[0].name} if isinstance(e, A.Call) and e.name in ("nodes", "rels", "relationships") and e.args and isinstance(e.args[0], A.Var) else set()
+    return own.union(*map(lists, children(e)))
+
+
 class Planner:
     """Plans the reading clauses of one query over a catalog."""
 
@@ -29,6 +35,7 @@ class Planner:
         self.df: DataFrame | None = None
         self.sets: set[str] = set()  # relationship variables that may be walked as sets
         self.asked: set[str] = set()  # variables that some expression reads as a whole
+        self.listed: set[str] = set()  # variables whose nodes or relationships some expression lists
         self.columns: list[str] = []
         self.pushed: list = []  # conjuncts of WHERE, of the MATCH being planned
 
@@ -48,6 +55,7 @@ class Planner:
                 value = compile_expr(c.expr, self.scope)
                 self.df = self.start().withColumn(c.name, F.explode(value))
                 self.scope.vars[c.name] = Bound("value")
+                self.scope.note(self.df.select(col(c.name)))
             elif isinstance(c, A.CallProc):
                 self.procedure(c)
             else:
@@ -56,7 +64,7 @@ class Planner:
     def look_ahead(self, clauses: tuple, i: int) -> None:
         """Which variables are read, and which variable-length relationships need no multiplicity: the projection after
         this MATCH is DISTINCT, or aggregates only what repeats do not change."""
-        self.asked = set()
+        self.asked, self.listed = set(), set()
         for c in clauses[i:]:
             body = c.body if isinstance(c, (A.With, A.Return)) else None
             exprs = [c.where] if isinstance(c, A.Match) else [c.expr] if isinstance(c, A.Unwind) else []
@@ -67,6 +75,7 @@ class Planner:
             for e in exprs:
                 if e is not None:
                     self.asked |= mentions(e)
+                    self.listed |= lists(e)
         self.sets = set()
         later = clauses[i + 1 :]
         if not later or not isinstance(later[0], (A.With, A.Return)) or self.mode == "trail":
@@ -121,7 +130,7 @@ class Planner:
         shared = sorted({n.var for p in c.patterns for n in p.nodes} & set(scope.vars))
         if not shared:
             inner = Planner(self.catalog, scope.params, self.mode)
-            inner.asked = self.asked
+            inner.asked, inner.listed = self.asked, self.listed
             inner.match(replace(c, optional=False))
             self.df = self.df.join(inner.df.drop("_row"), F.lit(True), "left")
             self.scope.vars |= inner.scope.vars
@@ -129,7 +138,7 @@ class Planner:
         # match from the distinct keys of the shared variables, then join what was found to all rows
         keys = [identity(A.Var(v), scope) for v in shared]
         inner = Planner(self.catalog, scope.params, self.mode)
-        inner.asked, inner.sets = self.asked | set(shared), set()
+        inner.asked, inner.sets, inner.listed = self.asked | set(shared), set(), self.listed
         outer = mentions(c.where) - {n.var for p in c.patterns for n in p.nodes} - {r.var for p in c.patterns for r in p.rels} if c.where is not None else set()
         if outer & set(scope.vars):
             inner.df, inner.scope = before, scope.copy()
@@ -216,10 +225,12 @@ class Planner:
         if len(tables) == 1:
             t = tables[0]
             df = t.df.select(*[col(c).alias(name_of(n.var, c)) for c in t.props])
+            self.scope.note(df)
             self.scope.vars[n.var] = Bound("node", {c: name_of(n.var, c) for c in t.props}, t.key, t.name)
         else:
             parts = [t.df.select(*[col(c).alias(name_of(n.var, c)) for c in t.props], F.lit(t.name).alias(name_of(n.var, "_label")), col(t.key).cast("string").alias(name_of(n.var, "_key"))) for t in tables]
             df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), self.alike(parts))
+            self.scope.note(df)
             props = {c: name_of(n.var, c) for t in tables for c in t.props}
             self.scope.vars[n.var] = Bound("node", props, "_key", "", (name_of(n.var, "_label"),))
             self.scope.vars[n.var].props = props
@@ -262,7 +273,9 @@ class Planner:
             raise QueryError(f"no relationship table fits {'|'.join(r.types) or 'the pattern'}")
         df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), self.alike(out))
         known = [c for c in df.columns if c.startswith(name_of(r.var, "")) and not c.endswith(("·_src", "·_dst", "·_type"))]
+        self.scope.note(df)
         scope = Scope(self.scope.params)
+        scope.types = self.scope.types
         scope.vars[r.var] = Bound("rel", {c.partition("·")[2]: c for c in known}, "", "", ())
         for k, v in r.props:
             df = df.where(compile_expr(A.Op("=", (A.Prop(A.Var(r.var), k), v)), scope))
@@ -316,7 +329,7 @@ class Planner:
             edges = edges.withColumn("_eid", F.monotonically_increasing_id())
         key = self.key_of(source.var)
         starts = self.df.select(key.alias("_start")).where("_start IS NOT NULL").distinct()
-        need_nodes = p.path in self.asked and bool(p.path) or r.var in self.asked and "nodes" in str(self.asked)
+        need_nodes = p.path in self.asked and bool(p.path) or r.var in self.listed
         if r.shortest:
             targets = None
             if target.var in self.scope.vars:
@@ -448,6 +461,8 @@ class Planner:
             order.append((compile_expr(expr, scope, done), down))
         sort = [c.alias(f"_ord{k}") for k, (c, _) in enumerate(order)]
         df = df.select(*out, *carry, *sort)
+        if not last:
+            fresh.note(df)
         names = [c for c in df.columns if not c.startswith("_ord")]
         if body.distinct:
             df = df.distinct()

@@ -98,6 +98,12 @@ cypher("q45_unlabelled", "MATCH (x) RETURN label(x) AS label, count(*) AS n", "
 cypher("q46_returns", "MATCH (c:Customer)-[p:PLACED]->(o:Orders)-[l:CONTAINS]->(t:Part) WHERE c.c_mktsegment = 'BUILDING' AND l.l_returnflag = 'R' RETURN t.p_brand AS brand, count(DISTINCT o) AS orders, sum(l.l_quantity) AS quantity", "SELECT p_brand AS brand, count(DISTINCT o_orderkey) AS orders, sum(l_quantity) AS quantity FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE c_mktsegment = 'BUILDING' AND l_returnflag = 'R' GROUP BY 1", graph=trade_graph)
 
 
+cypher("q48_avg_distinct", "MATCH (p:Person) WHERE p.city = 'BUILDING' RETURN avg(DISTINCT p.age) AS a", f"{P} SELECT avg(DISTINCT age) AS a FROM person WHERE city = 'BUILDING'")
+cypher("q49_whole_division", "MATCH (p:Person) WHERE p.age > 75 RETURN p.name AS name, p.age / 7 AS q, -7 / 2 AS m, p.age / 2.0 AS h", f"{P} SELECT name, CAST(age // 7 AS BIGINT) AS q, CAST(-3 AS BIGINT) AS m, age / 2.0 AS h FROM person WHERE age > 75")
+cypher("q50_size_of_text", "MATCH (p:Person) WHERE size(p.city) > 8 RETURN p.city AS city, max(size(p.name)) AS n", f"{P} SELECT city, CAST(max(length(name)) AS INTEGER) AS n FROM person WHERE length(city) > 8 GROUP BY city")
+cypher("q51_nodes_of_hops", f"MATCH (a:Person {{name: '{A7}'}})-[r:KNOWS*2..2]->(b:Person) WITH nodes(r) AS ns, b.name AS name RETURN DISTINCT ns[1] AS mid, size(ns) AS n, name", f"{PK} SELECT DISTINCT x.dst AS mid, CAST(3 AS INTEGER) AS n, y.dst AS name FROM named x JOIN named y ON x.dst = y.src WHERE x.src = '{A7}'")
+
+
 # ---------------------------------------------------------------- analytics
 
 

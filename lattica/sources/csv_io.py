@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..catalog import GraphCatalog
 from ..errors import QueryError
 from ..operators.dedup import one_per_key
-from ..operators.mutate import append
+from ..operators.mutate import append, insert_nodes
 from ..operators.paths import scratch_table
 
 _BAD = "_corrupt_record"
@@ -58,14 +58,15 @@ def _take(df: DataFrame, strict: bool, table: str) -> tuple[DataFrame, int]:
 
 def load_nodes(graph: GraphCatalog, table: str, path: str, header: bool = True, strict: bool = True, sep: str = ",") -> LoadResult:
     """Append a CSV of nodes. Its header names columns in any case and order, the key among them; without one the
-    columns are the table's. strict: any malformed row fails the load; else such rows are left out and counted."""
+    columns are the table's. strict: any malformed row fails the load; else such rows are left out and counted. A key
+    that is null, repeated, or in the table already fails the load."""
     t = graph.node(table)
     names = _header(graph.spark, path, sep) if header else t.props
     if t.key.lower() not in [n.lower() for n in names]:
         raise QueryError(f"{table}: the key column {t.key} is missing")
     schema = _ordered({f.name: f for f in t.df.schema}, names, table)
     good, bad = _take(read_checked(graph.spark, path, schema, header, sep), strict, table)
-    graph.bind(t.name, append(t.df, good))
+    graph.bind(t.name, insert_nodes(t.df, good, t.key))
     return LoadResult(t.name, good.count(), bad)
 
 
