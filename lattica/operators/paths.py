@@ -85,19 +85,21 @@ def between(pairs: DataFrame, edges: DataFrame, high: int) -> DataFrame:
     long as they can meet before. A pair is found in the round in which its frontiers first meet, and its length is the
     number of rounds.
     """
-    ahead = edges.select(F.col("_from").alias("_at"), F.col("_to").alias("_to")).distinct()
-    back = edges.select(F.col("_to").alias("_at"), F.col("_from").alias("_to")).distinct()
+    kept = [edges.select("_from", "_to").distinct().persist(StorageLevel.MEMORY_AND_DISK)]
+    ahead = kept[0].select(F.col("_from").alias("_at"), "_to")
+    back = kept[0].select(F.col("_to").alias("_at"), F.col("_from").alias("_to"))
     sides = []
     for end, step in (("_start", ahead), ("_end", back)):
         first = pairs.select(end, F.col(end).alias("_at")).distinct()
         sides.append({"end": end, "step": step, "front": first, "seen": first, "n": first.count()})
-    open_, found, kept = pairs.select("_start", "_end").distinct(), [], []
+    open_, found = pairs.select("_start", "_end").distinct(), []
     spark = pairs.sparkSession
     for k in range(1, high + 1):
         if not all(s["n"] for s in sides):
             break
         s, other = sides if sides[0]["n"] <= sides[1]["n"] else sides[::-1]
-        new = s["front"].join(s["step"], "_at").select(s["end"], F.col("_to").alias("_at")).distinct()
+        front = F.broadcast(s["front"]) if s["n"] <= FEW * 100 else s["front"]  # counted rows of two keys
+        new = front.join(s["step"], "_at").select(s["end"], F.col("_to").alias("_at")).distinct()
         new = new.join(s["seen"], [s["end"], "_at"], "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
         kept.append(new)
         s["n"] = new.count()
