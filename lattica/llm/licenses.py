@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized, table
+from .common import fresh, sized, table
 
 _MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
 _AS_IS = " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
@@ -68,6 +68,17 @@ def terms(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), lambda w: ~w.isin(*COMMON))
 
 
+def squares(words: Column) -> Column:
+    """The sum over the distinct words of the squares of their counts."""
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+
+    def step(a: Column, x: Column) -> Column:
+        run = F.when(a["last"] == x, a["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(x.alias("last"), run.alias("run"), (a["sum"] + 2 * run - 1).alias("sum"))
+
+    return F.aggregate(F.array_sort(F.transform(words, lambda w: F.xxhash64(w))), start, step)["sum"]
+
+
 def template_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES), "license string, notice string")
 
@@ -104,8 +115,14 @@ def scan(files: DataFrame, templates: DataFrame, least: float = 0.7) -> DataFram
     sides = F.broadcast(of_template.join(norms, "template").select("license", "template", "w", (F.col("x") / F.col("norm")).alias("y")))
     whole_keys = some.select("file_key").distinct()
     whole = files.select("file_key", "text").join(sized(whole_keys), "file_key", "left_semi").select("file_key", F.lit(-1).alias("unit"), terms(F.col("text")).alias("t"), F.lit(0).alias("span"))
-    units = weigh(table(bag(some.unionByName(wide).unionByName(whole), "file_key", "unit", "span"), "units"))
-    sums = units.groupBy("file_key", "unit", "span").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    # words outside the templates all weigh the same, so of them the sum of squared counts is enough; the empty word
+    # counts how often a unit stands in the input
+    parts = some.unionByName(wide).unionByName(whole)
+    parts = parts.select("file_key", "unit", "span", F.array_append(F.filter("t", telling), F.lit("")).alias("t"), squares(F.filter("t", lambda w: ~telling(w))).alias("outside"))
+    units = weigh(table(bag(parts, "file_key", "unit", "span", "outside"), "units", "zstd"))
+    copies = F.max(F.when(F.col("w") == "", F.col("tf")))
+    known = F.sum(F.when(F.col("w") != "", F.col("x") * F.col("x")).otherwise(0.0))
+    sums = units.groupBy("file_key", "unit", "span").agg(F.sqrt(known + copies * copies * rare * rare * F.max("outside")).alias("norm"))
     dots = units.join(sides, "w").groupBy("file_key", "unit", "span", "license", "template").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     scored = dots.join(sums, ["file_key", "unit", "span"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= least).select("file_key", "unit", "license", "cosine")
     tagged = files.where(F.instr("text", "SPDX-License-Identifier:") > 0).select("file_key", F.posexplode(F.split("text", "\n")).alias("unit", "line"))
@@ -123,26 +140,28 @@ def label_files(files: DataFrame, templates: DataFrame, least: float = 0.7) -> D
     file in the root, ''. Rows that repeat are each labelled; columns with these names are replaced.
     """
     files = files.drop("own_license", "license", "license_from")
+    names = {n: fresh(files, n) for n in ("_key", "_of", "_whole", "_dir", "_name", "_at", "_inherited", "_d", "_from")}
+    key, of, whole, dir_, name, at, inherited, d, came = names.values()
     path = F.regexp_replace(F.coalesce("path", F.lit("")), "/+", "/")
-    keyed = files.withColumn("_key", F.xxhash64("path", "text"))
-    found = table(scan(keyed.select(F.col("_key").alias("file_key"), "text"), templates, least), "notices")
-    own = found.groupBy("file_key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"), F.max(F.col("unit") < 0).alias("_whole"))
-    own = own.select(F.col("file_key").alias("_of"), F.col("b.license").alias("own_license"), "_whole")
+    keyed = files.withColumn(key, F.xxhash64("path", "text"))
+    found = table(scan(keyed.select(F.col(key).alias("file_key"), "text"), templates, least), "notices")
+    own = found.groupBy("file_key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"), F.max(F.col("unit") < 0).alias(whole))
+    own = own.select(F.col("file_key").alias(of), F.col("b.license").alias("own_license"), whole)
     # bare directories: '' is the root
     folder = F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
-    labelled = keyed.join(sized(own), F.col("_key") == F.col("_of"), "left").withColumn("_dir", folder).withColumn("_name", F.regexp_extract(path, "[^/]*$", 0))
-    is_file = F.col("own_license").isNotNull() & (F.coalesce("_whole", F.lit(False)) | F.col("_name").rlike(NAMED))
-    licences = labelled.where(is_file).groupBy(F.col("_dir").alias("_at")).agg(F.min("own_license").alias("_inherited"))
+    labelled = keyed.join(sized(own), F.col(key) == F.col(of), "left").withColumn(dir_, folder).withColumn(name, F.regexp_extract(path, "[^/]*$", 0))
+    is_file = F.col("own_license").isNotNull() & (F.coalesce(whole, F.lit(False)) | F.col(name).rlike(NAMED))
+    licences = labelled.where(is_file).groupBy(F.col(dir_).alias(at)).agg(F.min("own_license").alias(inherited))
     licences = table(licences, "licence_files")
-    depth = F.size(F.split("_dir", "/"))
-    above = F.concat(F.transform(F.sequence(F.lit(1), depth), lambda i: F.array_join(F.slice(F.split("_dir", "/"), 1, i), "/")), F.array(F.lit("")))
-    folders = labelled.select("_dir").distinct().select("_dir", F.explode(F.array_distinct(above)).alias("_at"))
-    nearest = folders.join(sized(licences), "_at").groupBy("_dir").agg(F.max(F.struct(F.length("_at").alias("n"), "_at", "_inherited")).alias("up"))
-    nearest = nearest.select(F.col("_dir").alias("_d"), F.col("up._at").alias("_from"), F.col("up._inherited").alias("_inherited"))
-    out = labelled.join(sized(nearest), F.col("_dir") == F.col("_d"), "left")
+    depth = F.size(F.split(dir_, "/"))
+    above = F.concat(F.transform(F.sequence(F.lit(1), depth), lambda i: F.array_join(F.slice(F.split(dir_, "/"), 1, i), "/")), F.array(F.lit("")))
+    folders = labelled.select(dir_).distinct().select(dir_, F.explode(F.array_distinct(above)).alias(at))
+    nearest = folders.join(sized(licences), at).groupBy(dir_).agg(F.max(F.struct(F.length(at).alias("n"), F.col(at).alias("a"), F.col(inherited).alias("i"))).alias("up"))
+    nearest = nearest.select(F.col(dir_).alias(d), F.col("up.a").alias(came), F.col("up.i").alias(inherited))
+    out = labelled.join(sized(nearest), F.col(dir_) == F.col(d), "left")
     return out.select(
-        *files.columns, "own_license", F.coalesce("own_license", "_inherited").alias("license"),
-        F.when(F.col("own_license").isNotNull(), "file").otherwise(F.col("_from")).alias("license_from"),
+        *files.columns, "own_license", F.coalesce("own_license", inherited).alias("license"),
+        F.when(F.col("own_license").isNotNull(), "file").otherwise(F.col(came)).alias("license_from"),
     )
 
 

@@ -330,6 +330,20 @@ def test_licenses_wrapped(spark):
         assert got == {"mit.c": "MIT", "whole.txt": "MIT", "gpl2.py": "GPL-2.0", "bsd.py": "BSD-3-Clause", "spdx.py": "Zlib", "none.py": None}
 
 
+def test_squares_of_counts(spark):
+    rng = random.Random(8)
+    rows = [[rng.choice("abcdef") for _ in range(rng.randrange(30))] for _ in range(40)]
+    got = spark.createDataFrame([(r,) for r in rows], "t array<string>").select("t", licenses.squares(F.col("t")).alias("n")).collect()
+    assert all(r.n == sum(c * c for c in Counter(r.t).values()) for r in got)
+
+
+def test_licenses_repeated_rows_and_clashing_names(spark):
+    notice = "# Released under the MIT License, friends\ncode"
+    df = spark.createDataFrame([("a/x.py", notice, 1, 2)] * 3 + [("b/x.py", notice, 1, 2)], "path string, text string, _key int, _dir int")
+    got = {(r.path, r.own_license) for r in licenses.label_files(df, licenses.template_table(spark)).collect()}
+    assert got == {("a/x.py", "MIT"), ("b/x.py", "MIT")}
+
+
 def test_index_search():
     rng = np.random.default_rng(1)
     codes = np.unique(rng.integers(0, 256, (700, 8), dtype=np.uint8), axis=0)
