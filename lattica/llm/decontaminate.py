@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, sized, table
+from .common import ascii_lower, fresh, sized, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -92,9 +92,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     index = build_index(docs.select("doc_id", "text"), terms)
     anchors = table(anchors_of(items, index, window), "anchors")
     found = meetings(index, anchors, items.where(F.size("words") == 1).select("item"))
-    found = found.join(sized(items), "item").groupBy(F.col("doc").alias("_of")).agg(F.collect_list(F.struct("item_id", "diag", "words")).alias("_found"))
-    keyed = docs.withColumn("_doc", doc_of(F.col("doc_id"), F.col("text")))
-    joined = keyed.join(found, F.col("_doc") == F.col("_of"), "left").drop("_of", "_doc")
+    of, met, key, result = (fresh(docs, x) for x in ("_of", "_found", "_doc", "_judged"))
+    found = found.join(sized(items), "item").groupBy(F.col("doc").alias(of)).agg(F.collect_list(F.struct("item_id", "diag", "words")).alias(met))
+    keyed = docs.withColumn(key, doc_of(F.col("doc_id"), F.col("text")))
+    joined = keyed.join(found, F.col(key) == F.col(of), "left").drop(of, key)
 
     def starts(w, c):
         span = F.least(F.lit(window), F.size(c["words"]))
@@ -106,14 +107,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
         return F.struct(c["item_id"].alias("item_id"), c["diag"].alias("diag"), span.alias("span"), F.filter(F.sequence(F.lit(0), F.size(c["words"]) - span), same).alias("starts"))
 
     def judge(w):
-        checked = F.filter(F.transform(F.col("_found"), lambda c: starts(w, c)), lambda c: F.size(c["starts"]) > 0)
+        checked = F.filter(F.transform(F.col(met), lambda c: starts(w, c)), lambda c: F.size(c["starts"]) > 0)
         hit = lambda cs: F.array_sort(F.array_distinct(F.flatten(F.flatten(F.transform(cs, lambda c: F.transform(c["starts"], lambda s: F.sequence(c["diag"] + s, c["diag"] + s + c["span"] - 1)))))))
         out = lambda cs: F.struct(hit(cs).alias("hits"), F.array_sort(F.array_distinct(F.transform(cs, lambda c: c["item_id"]))).alias("items"))
         none = F.struct(F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.when(F.col("_found").isNull(), none).otherwise(let(checked, out)).alias("found"))
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.when(F.col(met).isNull(), none).otherwise(let(checked, out)).alias("found"))
 
-    judged = joined.withColumn("_judged", let(words(F.col("text")), judge)).drop("_found")
-    judged = judged.select(*docs.columns, F.col("_judged.n_words").alias("n_words"), F.col("_judged.found.hits").alias("hits"), F.col("_judged.found.items").alias("items"))
+    judged = joined.withColumn(result, let(words(F.col("text")), judge)).drop(met)
+    judged = judged.select(*docs.columns, F.col(f"{result}.n_words").alias("n_words"), F.col(f"{result}.found.hits").alias("hits"), F.col(f"{result}.found.items").alias("items"))
     n = F.size("hits")
     return judged.withColumn("contaminated", (n > 0) & (n >= F.col("n_words") * F.lit(share).cast("decimal(9,6)")))
 

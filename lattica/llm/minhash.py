@@ -163,8 +163,8 @@ def signatures(docs: DataFrame, m: int = 128, rows: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, m: int = 128, rows: int = 4) -> DataFrame:
-    """h1, h2 (hashes of a text) of every text of documents (doc_id, text) with words, class_id, the smallest doc_id of
-    its class, and class_rows.
+    """h1, h2 (hashes of a text) of every text of documents (doc_id, text) with words, root, a number that tells its
+    class, class_id, the smallest doc_id of the class, and class_rows.
 
     Texts of equal words are one node. Nodes are linked if the weighted Jaccard similarity of their shingles of five
     words is at least threshold; classes are what links connect. Texts without words are in no class. Candidates share
@@ -211,23 +211,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, m: int = 128, rows:
     groups, _ = group_buckets(shared, verify, sketches, near, star_shared=2, rounds=2)
     rooted = nodes.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id", "n")
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_rows"))
-    of = table(rooted.join(classes, "root").select("node", "class_id", "class_rows"), "classes")
-    return signed.select("h1", "h2", "node").distinct().join(of, "node").select("h1", "h2", "class_id", "class_rows")
+    of = table(rooted.join(classes, "root").select("node", "root", "class_id", "class_rows"), "classes")
+    return signed.select("h1", "h2", "node").distinct().join(of, "node").select("h1", "h2", "root", "class_id", "class_rows")
 
 
-def label_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def label_classes(docs: DataFrame, threshold: float = 0.8, root: str | None = None) -> DataFrame:
     """docs with class_id (the smallest doc_id of its near-duplicate class) and class_rows; other columns stay.
 
     A document without words is a class of its own: its own doc_id, 1 row. A null doc_id can only be the class_id of
     a class of nulls. doc_id may be of any type that has an order. Columns of docs with these names are replaced.
+    root: a column of this name tells the classes apart, also where doc_ids repeat; it is null without words.
     """
     docs = docs.drop("class_id", "class_rows")
     a, b, c = (fresh(docs, x) for x in ("_h1", "_h2", "_rows"))
     classes = near_duplicates(docs.select("doc_id", "text"), threshold)
-    classes = table(classes.select(F.col("h1").alias(a), F.col("h2").alias(b), "class_id", F.col("class_rows").alias(c)), "labels")
+    classes = table(classes.select(F.col("h1").alias(a), F.col("h2").alias(b), "class_id", F.col("class_rows").alias(c), "root"), "labels")
     h1, h2 = key128(F.col("text"))
     joined = docs.join(sized(classes), (h1 == F.col(a)) & (h2 == F.col(b)), "left")
-    return joined.select(*[docs[x] for x in docs.columns], F.when(F.col(c).isNull(), docs["doc_id"]).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(c, F.lit(1)).alias("class_rows"))
+    more = [classes["root"].alias(root)] if root else []
+    return joined.select(*[docs[x] for x in docs.columns], *more, F.when(F.col(c).isNull(), docs["doc_id"]).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(c, F.lit(1)).alias("class_rows"))
 
 
 def op6_minhash_dedup(spark, sf_dir: str) -> DataFrame:
