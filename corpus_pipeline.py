@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm import decontaminate, lines, minhash, packing, quality
-from lattica.llm.common import table
+from lattica.llm.common import fresh, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -16,7 +16,8 @@ def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject (score of at least 0.5)."""
+    """Documents that the quality classifier does not reject (score of at least 0.5). A null or empty text has the score
+    of the bias; rows that repeat are each judged."""
     model = quality.learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _columns(quality.score(docs, model).where("score >= 0.5"), docs)
 
@@ -30,27 +31,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: that with the smallest doc_id; of rows that tie, one."""
-    kept = minhash.label_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    once = table(_columns(kept, docs), "kept")
-    if once.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        same = once.withColumn("_h", F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "_h"])
-        # rows of one class and one doc_id but other texts: the one with the least hash stays
-        classed = minhash.label_classes(same)
-        best = classed.groupBy("doc_id", "class_id", "class_rows").agg(F.min("_h").alias("_least"))
-        alone = classed.join(best.withColumnRenamed("doc_id", "_d"), (F.col("_h") == F.col("_least")) & F.col("_d").eqNullSafe(classed["doc_id"]), "left_semi")
-        return _columns(alone, docs)
-    return once
+    """One document of each near-duplicate class: that with the smallest doc_id; of rows of one doc_id that with the
+    smallest hash. Texts without words (null, empty) are classes of their own, one row of each doc_id."""
+    root, rank = (fresh(docs, x) for x in ("_root", "_rank"))
+    kept = table(minhash.label_classes(docs, root=root).where(F.col("doc_id").eqNullSafe(F.col("class_id"))), "kept")
+    if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # the hash of what tells a class: its root, or the doc_id of a text without words
+        of = F.xxhash64(F.coalesce(root, F.lit(0)), F.when(F.col(root).isNull(), F.col("doc_id").cast("string")))
+        by = Window.partitionBy(of).orderBy(F.xxhash64(*docs.columns))
+        kept = kept.withColumn(rank, F.row_number().over(by)).where(F.col(rank) == 1)
+    return _columns(kept, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item's windows, or under a twentieth of their words."""
+    """Documents that hold no benchmark item's windows, or under a twentieth of their words. Null and empty texts stay,
+    and rows that repeat."""
     judged = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _columns(judged.where(~F.col("contaminated")), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences of at most 1024 tokens."""
+    """The pieces of the documents in sequences of at most 1024 tokens; a null or empty text is one piece of one token."""
     return packing.pack(table(packing.cut_documents(docs), "pieces"))
 
 
