@@ -236,8 +236,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             lists = [pa.ListArray.from_arrays(off, pa.array(x)) for x in (keys[w[start]], keys[u[start]], np.diff(np.r_[start, len(r)]).astype(np.int64))]
             yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(np.diff(bounds).astype(np.int64)), *lists], names=["doc_id", "n_tokens", "key", "ctx", "m"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-    first = table(texts.mapInArrow(run, "doc_id long, n_tokens long, key array<long>, ctx array<long>, m array<long>").withColumn("doc", F.monotonically_increasing_id()), "first")
+    texts = docs.select("doc_id", words(F.col("text")).alias("w"))
+    first = table(texts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, key array<long>, ctx array<long>, m array<long>").withColumn("doc", F.monotonically_increasing_id()), "first")
     tokens = first.select("doc", F.explode(F.arrays_zip("key", "ctx", "m")).alias("x")).select("doc", "x.key", "x.ctx", "x.m")
     unseen = F.array(*[F.lit(float(x)) for x in model.unseen])
     kept = len(model.unseen)

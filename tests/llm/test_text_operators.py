@@ -413,3 +413,9 @@ def test_language_model_has_a_restaurant_for_every_word(spark):
     got = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
     assert all(got[i] > got[12 + i] + 1 for i in range(12))
     assert model.contexts.count() == 1201
+
+
+def test_language_model_takes_any_ids(spark):
+    docs = spark.createDataFrame([("x-1", "a b a"), ("x-2", None), (None, "b")], "doc_id string, text string")
+    got = {r.doc_id: (r.n_tokens, r.n_known) for r in pitman_yor.score(docs, pitman_yor.train(docs)).collect()}
+    assert got == {"x-1": (4, 4), "x-2": (1, 1), None: (2, 2)}
