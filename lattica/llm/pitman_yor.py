@@ -6,7 +6,8 @@ for all others (Teh, 2006).
 
 A dish of a restaurant (word and context) is a row, as are words and contexts. A sweep joins the dishes with the words'
 parent probabilities and the contexts' totals as of the sweep before, seats all dishes independently and in parallel,
-and sums the new tables by word and by context; only the sums over everything reach the driver. Sweeps draw from
+and sums the new tables by word and by context; only the sums over everything reach the driver. A dish of one customer
+has one table whatever is drawn, so it is counted once and stands in no sweep. Sweeps draw from
 hashes, so a lost task draws the same seating again. Predictive probabilities are averaged over the sweeps that follow
 the burn-in.
 """
@@ -142,17 +143,31 @@ def _slices(batches, column: int, step: int = 1_000_000):
 
 class Model:
     """A fitted model: dishes (key, ctx, p, the averaged predictive probability), words (key, c, p1, an array by kept
-    sweep), contexts (ctx, back, the weight of the parent by kept sweep), and the parent's probability of an unseen word."""
+    sweep), contexts (ctx, customers, back, the weight of the parent by kept sweep), and the parent's probability of an
+    unseen word."""
 
     def __init__(self, dishes: DataFrame | None, words: DataFrame | None, contexts: DataFrame | None, unseen: list[float], n: int, v: int):
         self.dishes, self.words, self.contexts, self.unseen, self.n, self.v = dishes, words, contexts, unseen, n, v
 
 
+def _joined(batches, rows: int = 100_000):
+    """Batches of small rows put together to about so many: seating is the same, and numpy works on longer arrays."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _seated(df: DataFrame, keys: list[str], turn: int, d: float) -> DataFrame:
     """df with t, the tables of n customers where a new table weighs a; drawn from the hashes of keys and turn."""
 
     def run(batches):
-        for b in batches:
+        for b in _joined(batches):
             seeds = np.full(len(b), turn + 1, np.uint64)
             for k in keys:
                 seeds = mix(seeds * GOLD ^ b.column(k).to_numpy().view(np.uint64))
@@ -173,28 +188,39 @@ def train(docs: DataFrame, burn: int = 1, kept: int = 2, theta: float = 1.0) ->
 
     pairs = docs.select(words(F.col("text")).alias("w")).mapInArrow(count, "key long, ctx long, n long")
     dishes = table(pairs.groupBy("key", "ctx").agg(F.sum("n").alias("n")), "dishes")
-    known = table(dishes.groupBy("key").agg(F.sum("n").alias("c"), F.count("*").alias("kinds")), "words")
+    single = F.sum((F.col("n") == 1).cast("double")).alias("singles")
+    known = table(dishes.groupBy("key").agg(F.sum("n").alias("c"), F.count("*").alias("kinds"), single), "words")
     n, v, one1, two1 = (x or 0 for x in known.agg(F.sum("c"), F.count("*"), F.sum((F.col("kinds") == 1).cast("long")), F.sum((F.col("kinds") == 2).cast("long"))).first())
     if not v:
         return Model(None, None, None, [1.0], 0, 0)
     one, two = dishes.agg(F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
     d2, d1 = discount(one, two), discount(one1, two1)
-    contexts = table(dishes.groupBy("ctx").agg(F.sum("n").alias("customers"), F.count("*").cast("double").alias("tables")), "contexts")
-    p1s, backs, unseen, tables1 = known.select("key", (F.col("c") / n).alias("p1")), [], [], float(v)
-    of_word, seated = [], dishes.withColumn("extra", F.lit(0.0))
+    every = table(dishes.groupBy("ctx").agg(F.sum("n").alias("customers"), F.count("*").cast("double").alias("tables"), single), "contexts")
+    contexts, p1s, tables1 = every, known.select("key", (F.col("c") / n).alias("p1")), float(v)
+    of_word, backs, unseen, spent = [], [], [], [known, every]
+
+    def with_tables(rows: DataFrame, sums: DataFrame, key: str) -> DataFrame:
+        """rows with tables: one for each single customer, and those of the seated dishes."""
+        return rows.join(sums, key, "left").withColumn("tables", F.col("singles") + F.coalesce("t", F.lit(0.0)))
+
+    # a dish of one customer has one table in every sweep: only the others are seated
+    seated = dishes.where("n > 1").select("key", "ctx", "n", F.lit(0.0).alias("t_sum"))
     for turn in range(burn + kept):
         a = ((theta + d2 * F.col("tables")) * F.col("p1")).alias("a")
-        joined = seated.join(p1s, "key").join(contexts, "ctx").select("key", "ctx", "n", "extra", "customers", a)
-        mine = (F.col("n") - d2 * F.col("t")) / (theta + F.col("customers")) / kept if turn >= burn else F.lit(0.0)
-        old, seated = seated, table(_seated(joined, ["key", "ctx"], turn, d2).select("key", "ctx", "n", "t", (F.col("extra") + mine).alias("extra")), "seated")
-        drop_table(old)
-        contexts = table(seated.groupBy("ctx").agg(F.sum("n").alias("customers"), F.sum("t").alias("tables")), "contexts")
-        parent = seated.groupBy("key").agg(F.sum("t").alias("n")).withColumn("a", F.lit((theta + d1 * tables1) / (v + 1)))
-        parent = table(_seated(parent, ["key"], turn, d1), "parent")
+        joined = seated.join(p1s, "key").join(contexts.select("ctx", "tables"), "ctx").select("key", "ctx", "n", "t_sum", a)
+        mine = F.col("t") if turn >= burn else F.lit(0.0)
+        drawn = table(_seated(joined, ["key", "ctx"], turn, d2).select("key", "ctx", "n", "t", (F.col("t_sum") + mine).alias("t_sum")), "seated")
+        if turn:
+            drop_table(seated)
+        seated = drawn.drop("t")
+        contexts = table(with_tables(every.select("ctx", "customers", "singles"), drawn.groupBy("ctx").agg(F.sum("t").alias("t")), "ctx").select("ctx", "customers", "tables"), "contexts")
+        guests = with_tables(known.select("key", "singles"), drawn.groupBy("key").agg(F.sum("t").alias("t")), "key")
+        guests = guests.select("key", F.col("tables").alias("n"), F.lit((theta + d1 * tables1) / (v + 1)).alias("a"))
+        parent = table(_seated(guests, ["key"], turn, d1), "parent")
+        spent += [contexts, parent]
         customers1, tables1 = parent.agg(F.sum("n"), F.sum("t")).first()
         base = (theta + d1 * tables1) / (v + 1)
         p1s = parent.select("key", ((F.col("n") - d1 * F.col("t") + base) / (theta + customers1)).alias("p1"))
-        seated = seated.drop("t")
         if turn >= burn:
             of_word.append(p1s)
             backs.append(contexts.select("ctx", ((theta + d2 * F.col("tables")) / (theta + F.col("customers"))).alias("back")))
@@ -206,9 +232,14 @@ def train(docs: DataFrame, burn: int = 1, kept: int = 2, theta: float = 1.0) ->
         return rows.withColumn(value, F.array(*[f"{value}{i}" for i in range(len(parts))])).drop(*[f"{value}{i}" for i in range(len(parts))])
 
     known = table(gathered(known.select("key", "c"), of_word, "key", "p1"), "known")
-    contexts = table(gathered(contexts.select("ctx"), backs, "ctx", "back"), "backs")
-    fitted = seated.join(known, "key").join(contexts, "ctx").select("key", "ctx", "c", (F.col("extra") + _parents(F.col("p1"), F.col("back"), kept)).alias("p"))
+    contexts = table(gathered(every.select("ctx", "customers"), backs, "ctx", "back"), "backs")
+    for old in spent:
+        drop_table(old)
+    all_dishes = dishes.where("n = 1").select("key", "ctx", "n", F.lit(float(kept)).alias("t_sum")).unionByName(seated)
+    extra = (F.col("n") - d2 * F.col("t_sum") / kept) / (theta + F.col("customers"))
+    fitted = all_dishes.join(known, "key").join(contexts, "ctx").select("key", "ctx", "c", (extra + _parents(F.col("p1"), F.col("back"), kept)).alias("p"))
     fitted = table(fitted, "fitted")
+    drop_table(dishes)
     drop_table(seated)
     return Model(fitted, known, contexts, unseen, n, v)
 
@@ -234,26 +265,30 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             start = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (w[1:] != w[:-1]) | (u[1:] != u[:-1])][: len(r)])
             off = pa.array(np.searchsorted(r[start], np.arange(to - at + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(off, pa.array(x)) for x in (keys[w[start]], keys[u[start]], np.diff(np.r_[start, len(r)]).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(np.diff(bounds).astype(np.int64)), *lists], names=["doc_id", "n_tokens", "key", "ctx", "m"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), *lists], names=["doc_id", "key", "ctx", "m"])
 
     texts = docs.select("doc_id", words(F.col("text")).alias("w"))
-    first = table(texts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, key array<long>, ctx array<long>, m array<long>").withColumn("doc", F.monotonically_increasing_id()), "first")
-    tokens = first.select("doc", F.explode(F.arrays_zip("key", "ctx", "m")).alias("x")).select("doc", "x.key", "x.ctx", "x.m")
+    listed = texts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key array<long>, ctx array<long>, m array<long>")
+    tokens = listed.withColumn("doc", F.monotonically_increasing_id()).select("doc", "doc_id", F.explode(F.arrays_zip("key", "ctx", "m")).alias("x")).select("doc", "doc_id", "x.key", "x.ctx", "x.m")
     unseen = F.array(*[F.lit(float(x)) for x in model.unseen])
-    kept = len(model.unseen)
+    kept, m = len(model.unseen), F.col("m")
+    sums = [F.sum(F.when(F.col("c").isNotNull(), m).otherwise(0)).alias("n_known"), F.sum(m * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("base"), F.sum(m * F.log10("p")).alias("score")]
     if model.dishes is None:
-        found = tokens.select("doc", "m", F.lit(None).cast("long").alias("c"), F.lit(model.unseen[0]).alias("p"))
+        found = tokens.select("doc", "doc_id", "m", F.lit(None).cast("long").alias("c"), F.lit(model.unseen[0]).alias("p"))
+        found = found.groupBy("doc", "doc_id").agg(F.sum("m").alias("m"), *sums)
     else:
-        met = tokens.join(model.dishes, ["key", "ctx"], "left")
-        met = table(met, "met")
-        rest = met.where("p IS NULL").drop("c", "p").join(model.words, "key", "left").join(model.contexts, "ctx", "left")
+        # pairs that training texts have are summed at once; of the others key and ctx stay
+        missed = [F.when(F.col("p").isNull(), F.col(k)).alias(k) for k in ("key", "ctx")]
+        met = tokens.join(model.dishes, ["key", "ctx"], "left").select("doc", "doc_id", *missed, "m", "c", "p")
+        met = table(met.groupBy("doc", "doc_id", "key", "ctx").agg(F.sum("m").alias("m"), *sums), "met")
+        rest = met.where("key IS NOT NULL").select("doc", "doc_id", "key", "ctx", "m").join(model.words, "key", "left").join(model.contexts, "ctx", "left")
         back = F.coalesce("back", F.array(*[F.lit(1.0)] * kept))
-        rest = rest.select("doc", "m", "c", _parents(F.coalesce("p1", unseen), back, kept).alias("p"))
-        found = met.where("p IS NOT NULL").select("doc", "m", "c", "p").unionByName(rest)
-    m = F.col("m")
-    sums = found.groupBy("doc").agg(F.sum(F.when(F.col("c").isNotNull(), m).otherwise(0)).alias("n_known"), F.sum(m * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("base"), F.sum(m * F.log10("p")).alias("score"))
+        rest = rest.select("doc", "doc_id", "m", "c", _parents(F.coalesce("p1", unseen), back, kept).alias("p"))
+        rest = rest.groupBy("doc", "doc_id").agg(F.sum("m").alias("m"), *sums)
+        found = met.where("key IS NULL").drop("key", "ctx").unionByName(rest)
     whole = math.log10(model.n + 0.1 * (model.v + 1))
-    return first.select("doc", "doc_id", "n_tokens").join(sums, "doc").select(
+    found = found.groupBy("doc", "doc_id").agg(F.sum("m").alias("n_tokens"), *[F.sum(x).alias(x) for x in ("n_known", "base", "score")])
+    return found.select(
         "doc_id", "doc", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.lit(whole)).alias("base_score"), "score",
     )

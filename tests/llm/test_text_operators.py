@@ -405,6 +405,19 @@ def test_language_model_sums_to_one(spark):
     assert pitman_yor.score(docs.limit(0), model).count() == 0
 
 
+def test_language_model_predictions_are_a_distribution(spark):
+    texts = ["a b a c a b", "a a b", "c c c a b a b a b", "d e f a b", None, "a"] * 3 + ["g h"]
+    model = pitman_yor.train(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    dishes = {(r.key, r.ctx): r.p for r in model.dishes.collect()}
+    p1 = {r.key: r.p1 for r in model.words.collect()}
+    contexts = {r.ctx: r.back for r in model.contexts.collect()}
+    assert len(p1) == len(contexts) == 9 and len(dishes) < 81
+    mean = lambda p, back: float(np.mean(np.array(p) * np.array(back)))
+    for u, back in contexts.items():
+        of = [dishes.get((w, u), mean(p, back)) for w, p in p1.items()]
+        assert min(of) > 0 and sum(of) + mean(model.unseen, back) == pytest.approx(1)
+
+
 def test_language_model_has_a_restaurant_for_every_word(spark):
     # 600 words of one kind and one count each; only the word before says which follows
     texts = [f"left{i}x right{i}x" for i in range(600)] * 4
