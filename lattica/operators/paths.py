@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Hops of an unbounded pattern, and rounds between stored tables.
+#: Hops of single walks without an upper bound (reachable sets and shortest paths have none), and rounds between stored tables.
 MOST_HOPS, STORE = 30, 5
+#: No bound: the rounds end when nothing new is reached.
+ENDLESS = 2**31 - 1
 #: So many pairs at most are searched for from both ends; their answers are rows on the driver.
 FEW = 1_000
 
@@ -57,16 +59,18 @@ def walks(starts: DataFrame, edges: DataFrame, low: int, high: int, keep_nodes:
     return reduce(DataFrame.unionByName, out).drop("_eids")
 
 
-def reachable(starts: DataFrame, edges: DataFrame, low: int, high: int) -> DataFrame:
+def reachable(starts: DataFrame, edges: DataFrame, low: int, high: int | None) -> DataFrame:
     """Distinct (_start, _end) of walks of low..high edges: the frontier is a set in each round, so work grows with the
-    number of nodes and not of walks."""
+    number of nodes and not of walks. Without high, all that is reached after low edges, until nothing new is."""
     step = edges.select("_from", "_to")
     now = starts.select("_start", F.col("_start").alias("_end")).distinct()
     out = [now] if low == 0 else []
-    for k in range(1, high + 1):
+    for k in range(1, (low if high is None else high) + 1):
         now = now.join(step, F.col("_end") == F.col("_from")).select("_start", F.col("_to").alias("_end")).distinct()
         if k >= low:
             out.append(now)
+    if high is None:
+        return _spread(now, edges, 0, ENDLESS, None).select("_start", "_end")
     return reduce(DataFrame.unionByName, out).distinct()
 
 
@@ -143,10 +147,15 @@ def shortest_lengths(starts: DataFrame, edges: DataFrame, low: int, high: int, t
 
 def _from_starts(starts: DataFrame, edges: DataFrame, low: int, high: int, targets: DataFrame | None) -> DataFrame:
     """shortest_lengths from the starts alone."""
+    return _spread(starts.select("_start", F.col("_start").alias("_end")).distinct(), edges, low, high, targets)
+
+
+def _spread(pairs: DataFrame, edges: DataFrame, low: int, high: int, targets: DataFrame | None) -> DataFrame:
+    """_start, _end, _len: what the distinct pairs (_start, _end) reach by low..high further edges, and by how few."""
     step = edges.select("_from", "_to").distinct()
     wanted = None if targets is None else targets.select("_start", "_end").distinct().withColumn("_hit", F.lit(1)).persist()
     missing = -1 if wanted is None else wanted.count()
-    frontier = starts.select("_start", F.col("_start").alias("_end")).distinct().withColumn("_len", F.lit(0))
+    frontier, stored = pairs.withColumn("_len", F.lit(0)), None
     layers, held = [frontier] if low == 0 else [], []
     for k in range(1, high + 1):
         new = frontier.join(step, F.col("_end") == F.col("_from")).select("_start", F.col("_to").alias("_end")).distinct()
@@ -161,11 +170,17 @@ def _from_starts(starts: DataFrame, edges: DataFrame, low: int, high: int, targe
         if not n or missing == 0:
             break
         if k % STORE == 0:
-            layers = [scratch_table(reduce(DataFrame.unionByName, layers), "hops")]
-            frontier = layers[0].where(F.col("_len") == k)
+            old, stored = stored, scratch_table(reduce(DataFrame.unionByName, layers), "hops")
+            layers, frontier = [stored], stored.where(F.col("_len") == k)
+            while held:
+                held.pop().unpersist()
+            if old is not None:
+                drop_scratch(edges.sparkSession, old)
     out = scratch_table(reduce(DataFrame.unionByName, layers), "hops")
     for layer in held:
         layer.unpersist()
+    if stored is not None:
+        drop_scratch(edges.sparkSession, stored)
     return out if wanted is None else out.join(wanted, ["_start", "_end"], "left_semi")
 
 

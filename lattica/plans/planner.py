@@ -324,7 +324,7 @@ class Planner:
         if len(ends) != 1:
             raise QueryError("a variable-length pattern needs relationships within one label")
         edges = self.edges(r, (), (), a < b)
-        low, high = r.low, r.high if r.high is not None else paths.MOST_HOPS
+        low, high = r.low, r.high if r.high is not None else paths.ENDLESS if r.shortest else paths.MOST_HOPS
         if self.mode == "trail":
             edges = edges.withColumn("_eid", F.monotonically_increasing_id())
         key = self.key_of(source.var)
@@ -347,7 +347,7 @@ class Planner:
             else:
                 found = paths.shortest_lengths(starts, edges, min(low, 1), high, targets).where(F.col("_len") >= low)
         elif r.var in self.sets and not need_nodes:
-            found = paths.reachable(starts, edges, low, high)
+            found = paths.reachable(starts, edges, low, r.high)
         else:
             found = paths.walks(starts, edges, low, high, need_nodes, self.mode == "trail")
         names = {"_len": name_of(r.var, "_len"), "_nodes": name_of(r.var, "_nodes")}

@@ -224,3 +224,14 @@ def test_keys_are_checked_on_load(spark, tmp_path):
     with pytest.raises(QueryError):
         e.cypher(f"COPY City FROM '{tmp_path}/b.csv' (HEADER=true)")
     assert e.cypher("MATCH (c:City) RETURN count(c) AS n").collect()[0].n == 2
+
+
+def test_paths_without_bound_end_when_nothing_new_is_reached(spark):
+    chain = [(i, i + 1) for i in range(36)] + [(50, 51), (51, 50)]
+    df = spark.createDataFrame(chain, "_from long, _to long")
+    starts = spark.createDataFrame([(0,), (50,)], "_start long")
+    every = rows(paths.shortest_lengths(starts, df, 1, paths.ENDLESS).select("_start", "_end", "_len"))
+    assert every == sorted([(0, i, i) for i in range(1, 37)] + [(50, 51, 1), (50, 50, 2)], key=repr)
+    assert rows(paths.reachable(starts, df, 34, None)) == sorted([(0, 34), (0, 35), (0, 36), (50, 50), (50, 51)], key=repr)
+    pair = spark.createDataFrame([(0, 36), (36, 0)], "_start long, _end long")
+    assert rows(paths.shortest_lengths(pair.select("_start"), df, 1, paths.ENDLESS, pair)) == [(0, 36, 36)]
