@@ -57,6 +57,15 @@ class Case:
     other: object
 
 
+@dataclass(frozen=True)
+class Sub:
+    """A pattern asked about within an expression: whether it is there, or how often."""
+
+    kind: str  # exists, count
+    patterns: tuple
+    where: object = None
+
+
 @dataclass(frozen=True)
 class NodePat:
     var: str

@@ -157,6 +157,9 @@ class Engine:
             raise QueryError("UNION of writes")
         planner = Planner(g, params, self.mode)
         clauses = list(q.clauses)
+        for c in clauses:  # relationships that are changed are told apart from their equals, also under another name
+            planner.changed |= set(c.names) if isinstance(c, A.Delete) else {x[0] for x in c.items} if isinstance(c, (A.SetProps, A.Remove)) else set()
+            planner.changed |= {x.expr.name for x in c.body.items if isinstance(x.expr, A.Var)} if isinstance(c, A.With) else set()
         while clauses:
             c = clauses.pop(0)
             if isinstance(c, (*_READING, A.Return)):
@@ -299,9 +302,9 @@ class Engine:
                 for kind in kinds:
                     t = g.rel(kind)
                     mine = planner.df.where(col(name_of(v, "_type")) == kind)
-                    keys = [col(name_of(v, x)).alias(x) for x in t.df.columns]
+                    keys = [col(name_of(v, x)).alias(x) for x in (*t.df.columns, "_copy")]
                     changes = mine.select(*keys, *[compile_expr(e, planner.scope).alias(f"_set_{p}") for p, e in sets.items()])
-                    self._bind(g, t.name, mutate.update(t.df, changes, t.df.columns))
+                    self._bind(g, t.name, mutate.update_rels(t.df, changes))
             fresh = {name_of(v, p): compile_expr(e, planner.scope) for p, e in sets.items()}
             kinds = dict(planner.df.dtypes)
             planner.df = planner.df.withColumns({n: (x.cast(kinds[n]) if n in kinds else x) for n, x in fresh.items()})
@@ -313,8 +316,8 @@ class Engine:
             kinds = {r[0] for r in planner.df.select(col(name_of(v, "_type"))).distinct().collect()} - {None}
             for kind in kinds:
                 t = g.rel(kind)
-                mine = planner.df.where(col(name_of(v, "_type")) == kind).select(*[col(name_of(v, x)).alias(x) for x in t.df.columns])
-                self._bind(g, t.name, mutate.remove(t.df, mine, [(x, x) for x in t.df.columns]))
+                mine = planner.df.where(col(name_of(v, "_type")) == kind).select(*[col(name_of(v, x)).alias(x) for x in (*t.df.columns, "_copy")])
+                self._bind(g, t.name, mutate.remove_rels(t.df, mine))
         for v in c.names:
             if v in rels:
                 continue

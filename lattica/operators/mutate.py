@@ -17,6 +17,34 @@ def append(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows.select(*cast))
 
 
+def numbered(table: DataFrame) -> DataFrame:
+    """table with _copy: 1 to n for n equal rows. Equal rows are counted before they are shuffled, and no row differs from
+    its equals, so the numbers name the same rows however often and on however many tasks they are given."""
+    names = [F.col(f"`{c}`") for c in table.columns]
+    return table.groupBy(*names).agg(F.count("*").alias("_copies")).select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy"))
+
+
+def _split(table: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of table that equal a row of keys, numbered, and the others. keys: the columns of table, and _copy."""
+    named = keys.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(table.columns)]).distinct()
+    met = F.lit(True)
+    for i, c in enumerate(table.columns):
+        met &= F.col(f"`{c}`").eqNullSafe(F.col(f"_k{i}"))
+    return numbered(table.join(named, met, "left_semi")), table.join(named, met, "left_anti")
+
+
+def remove_rels(table: DataFrame, gone: DataFrame) -> DataFrame:
+    """table without the rows that gone names by all columns and _copy; equal rows of other numbers stay."""
+    hit, rest = _split(table, gone)
+    return rest.unionByName(remove(hit, gone, [(c, c) for c in hit.columns]).drop("_copy"))
+
+
+def update_rels(table: DataFrame, changes: DataFrame) -> DataFrame:
+    """update of the rows that changes names by all columns and _copy."""
+    hit, rest = _split(table, changes)
+    return rest.unionByName(update(hit, changes, hit.columns).drop("_copy"))
+
+
 def insert_nodes(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """append, for keys that are not null, not in the table and not twice in rows."""
     if not rows.where(F.col(key).isNull()).isEmpty():

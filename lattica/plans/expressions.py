@@ -38,6 +38,7 @@ class Scope:
     def __init__(self, params: dict):
         self.params, self.vars = params, {}
         self.types: dict[str, str] = {}  # Spark's name of the type of a column
+        self.subs: dict = {}  # the column of each pattern that an expression asks about
 
     def copy(self) -> Scope:
         out = Scope(self.params)
@@ -80,9 +81,31 @@ def children(e: object) -> list:
         return [v for _, v in e.items]
     if isinstance(e, A.Case):
         return [x for x in [e.of, e.other, *(y for arm in e.arms for y in arm)] if x is not None]
+    if isinstance(e, A.Sub):
+        parts = [x for p in e.patterns for x in (*p.nodes, *p.rels)]
+        own = [A.Var(n.var) for p in e.patterns for n in p.nodes]
+        return [*own, *(v for x in parts for _, v in x.props), *([e.where] if e.where is not None else [])]
     return []
 
 
+def subqueries(e: object) -> list:
+    """The patterns that an expression asks about; not those inside them."""
+    return [e] if isinstance(e, A.Sub) else [y for x in children(e) for y in subqueries(x)]
+
+
+def bare(e: object) -> set[str]:
+    """The variables that an expression reads whole, not by a property."""
+    if isinstance(e, A.Var):
+        return {e.name}
+    return set() if isinstance(e, A.Prop) and isinstance(e.of, A.Var) else set().union(*map(bare, children(e)), set())
+
+
+def read_props(e: object) -> set[tuple[str, str]]:
+    """(variable, property) of all that an expression reads."""
+    own = {(e.of.name, e.name)} if isinstance(e, A.Prop) and isinstance(e.of, A.Var) else set()
+    return own.union(*map(read_props, children(e)))
+
+
 def has_aggregate(e: object) -> bool:
     return is_aggregate(e) or any(map(has_aggregate, children(e)))
 
@@ -203,6 +226,10 @@ def compile_expr(e: object, scope: Scope, done: dict | None = None) -> Column:
         return _BINARY[e.name](a, b)
     if isinstance(e, A.Call):
         return call(e, scope, go)
+    if isinstance(e, A.Sub):
+        if e not in scope.subs:
+            raise QueryError("patterns stand in WHERE, WITH and RETURN only")
+        return col(scope.subs[e])
     raise QueryError(f"cannot evaluate {e}")
 
 
@@ -236,6 +263,10 @@ def aggregate(e: A.Call, scope: Scope, go) -> Column:
     if e.name == "count":
         return F.count_distinct(x) if e.distinct else F.count(x)
     if e.name == "collect":
+        of = scope.vars.get(e.args[0].name) if isinstance(e.args[0], A.Var) else None
+        if e.distinct and of is not None and of.kind == "rel":
+            told = F.collect_set(F.when(x.isNotNull(), F.struct(x.alias("value"), *map(col, of.columns[1:]))))
+            return F.transform(told, lambda s: s["value"])
         return F.collect_set(x) if e.distinct else F.collect_list(x)
     if e.name in ("stdev", "percentilecont") and e.distinct:
         raise QueryError(f"{e.name} takes no DISTINCT")
@@ -250,13 +281,14 @@ def aggregate(e: A.Call, scope: Scope, go) -> Column:
 
 
 def identity(v: A.Var, scope: Scope) -> Column:
-    """What tells a variable's values apart: the key of a node, the ends and properties of a relationship."""
+    """What tells a variable's values apart: the key of a node; the ends, the properties and, where it is asked for, the
+    number among equal ones of a relationship."""
     b = scope.get(v.name)
     if b.kind == "node":
         key = col(b.props[b.key]) if b.key in b.props else col(name_of(v.name, "_key"))
         return F.when(key.isNotNull(), F.struct(col(b.columns[0]), key)) if b.columns else key
     if b.kind == "rel":
-        return F.when(col(name_of(v.name, "_src")).isNotNull(), F.struct(*[col(name_of(v.name, p)) for p in ("_src", "_dst", "_type")], *[col(c) for c in b.props.values()]))
+        return F.when(col(name_of(v.name, "_src")).isNotNull(), F.struct(*[col(name_of(v.name, p)) for p in ("_src", "_dst", "_type")], *[col(c) for c in b.columns[1:]], *[col(c) for c in b.props.values()]))
     return whole(v.name, b)
 
 

@@ -17,7 +17,10 @@ from ..catalog import GraphCatalog, NodeTable
 from ..cypher import ast as A
 from ..errors import QueryError
 from ..operators import paths
-from .expressions import Bound, Scope, aggregate, children, col, compile_expr, conjuncts, has_aggregate, identity, is_aggregate, mentions, name_of, whole
+from ..operators.mutate import numbered
+from .expressions import (
+    Bound, Scope, aggregate, bare, children, col, compile_expr, conjuncts, has_aggregate, identity, is_aggregate, mentions, name_of, read_props, subqueries, whole,
+)
 
 
 def lists(e: object) -> set[str]:
@@ -26,6 +29,16 @@ def lists(e: object) -> set[str]:
     return own.union(*map(lists, children(e)))
 
 
+def distinct_args(e: object) -> set[str]:
+    """The variables that calls with DISTINCT, and comparisons of two variables, read whole."""
+    own: set[str] = set()
+    if isinstance(e, A.Call) and e.distinct:
+        own = set().union(*map(bare, e.args))
+    elif isinstance(e, A.Op) and e.name in ("=", "<>") and all(isinstance(x, A.Var) for x in e.args):
+        own = {x.name for x in e.args}
+    return own.union(*map(distinct_args, children(e)))
+
+
 class Planner:
     """Plans the reading clauses of one query over a catalog."""
 
@@ -36,6 +49,8 @@ class Planner:
         self.sets: set[str] = set()  # relationship variables that may be walked as sets
         self.asked: set[str] = set()  # variables that some expression reads as a whole
         self.listed: set[str] = set()  # variables whose nodes or relationships some expression lists
+        self.copied: set[str] = set()  # relationships of which equal ones must be told apart
+        self.changed: set[str] = set()  # those that a write changes
         self.columns: list[str] = []
         self.pushed: list = []  # conjuncts of WHERE, of the MATCH being planned
 
@@ -64,9 +79,12 @@ class Planner:
     def look_ahead(self, clauses: tuple, i: int) -> None:
         """Which variables are read, and which variable-length relationships need no multiplicity: the projection after
         this MATCH is DISTINCT, or aggregates only what repeats do not change."""
-        self.asked, self.listed = set(), set()
-        for c in clauses[i:]:
+        self.asked, self.listed, self.copied = set(), set(), set(self.changed)
+        merging = lambda b: b.distinct or any(has_aggregate(x.expr) for x in b.items)
+        for k, c in enumerate(clauses[i:], i):
             body = c.body if isinstance(c, (A.With, A.Return)) else None
+            if body and (merging(body) or any(merging(x.body) for x in clauses[k + 1 :] if isinstance(x, (A.With, A.Return)))):
+                self.copied |= set().union(*[bare(x.expr) for x in body.items if not has_aggregate(x.expr)])
             exprs = [c.where] if isinstance(c, A.Match) else [c.expr] if isinstance(c, A.Unwind) else []
             if body:
                 exprs = [x.expr for x in body.items] + [x for x, _ in body.order] + [body.where]
@@ -76,6 +94,7 @@ class Planner:
                 if e is not None:
                     self.asked |= mentions(e)
                     self.listed |= lists(e)
+                    self.copied |= distinct_args(e)
         self.sets = set()
         later = clauses[i + 1 :]
         if not later or not isinstance(later[0], (A.With, A.Return)) or self.mode == "trail":
@@ -114,23 +133,93 @@ class Planner:
     def match(self, c: A.Match) -> None:
         if c.optional and self.df is not None:
             return self.optional(c)
-        self.pushed = conjuncts(c.where)
+        self.pushed = [e for e in conjuncts(c.where) if not subqueries(e)]
         waiting = list(c.patterns)
         while waiting:  # first the patterns that hang on what is bound, then those with the best anchor
             bound = lambda p: any(n.var in self.scope.vars for n in p.nodes)
             p = max(waiting, key=lambda p: (bound(p), max(self.selectivity(n) for n in p.nodes)))
             waiting.remove(p)
             self.pattern(p)
-        if c.where is not None:
-            self.df = self.df.where(compile_expr(c.where, self.scope))
+        self.keep(c.where)
         self.pushed = []
 
+    # ------------------------------------------------------------ patterns within expressions
+
+    def keep(self, where: object) -> None:
+        """Keep the rows of which a condition holds; a pattern that must be there is a semi join, one that must not an
+        anti join, and any other use of patterns reads a column that a left join brings."""
+        mixed = []
+        for e in sorted(conjuncts(where), key=lambda e: bool(subqueries(e))):
+            inner = e.args[0] if isinstance(e, A.Op) and e.name == "not" else e
+            if not subqueries(e):
+                self.df = self.df.where(compile_expr(e, self.scope))
+            elif isinstance(inner, A.Sub) and inner.kind == "exists":
+                got, met = self.found(inner)
+                self.df = self.df.join(got, met, "left_semi" if inner is e else "left_anti")
+            else:
+                mixed.append(e)
+        for e in mixed:
+            before = self.df.columns
+            self.mark([e])
+            self.df = self.df.where(compile_expr(e, self.scope)).select(*map(col, before))
+
+    def mark(self, exprs: list) -> None:
+        """Bring a column for each pattern that expressions ask about: whether it is there, or how often."""
+        for s in dict.fromkeys(y for e in exprs if e is not None for y in subqueries(e)):
+            name = f"_sub{len(self.scope.subs)}"
+            got, met = self.found(s)
+            keys = got.columns
+            if s.kind == "count":
+                got = got.groupBy(*keys).agg(F.count("*").alias(name))
+                value = F.coalesce(col(name), F.lit(0).cast("long"))
+            else:
+                got = (got.distinct() if keys else got).withColumn(name, F.lit(True))
+                value = F.coalesce(col(name), F.lit(False))
+            self.df = self.start().join(got, met, "left").drop(*keys).withColumn(name, value)
+            self.scope.subs[s] = name
+
+    def found(self, s: A.Sub) -> tuple:
+        """What a pattern matches, as the columns of the outer variables that it reads, and their join condition.
+
+        It is matched from the distinct values of those columns: the keys of nodes, and the properties that are read.
+        """
+        parts = [x for p in s.patterns for x in (*p.nodes, *p.rels)]
+        if taken := [r.var for p in s.patterns for r in p.rels if r.var in self.scope.vars]:
+            raise QueryError(f"the relationship {taken[0]} is bound outside the pattern")
+        shared = sorted(mentions(s) & set(self.scope.vars))
+        read = set().union(*map(read_props, children(s)), {(x.var, k) for x in parts for k, _ in x.props})
+        ends = {n.var for p in s.patterns for n in p.nodes}
+        whole_ones = set().union(*map(bare, [v for x in parts for _, v in x.props]), bare(s.where) if s.where is not None else set())
+        names: list[str] = []
+        for v in shared:
+            b = self.scope.get(v)
+            if b.kind == "node" and v not in whole_ones:
+                own = [b.props[b.key] if b.key in b.props else name_of(v, "_key"), *b.columns] if v in ends else []
+                names += [*own, *(b.props[k] for w, k in sorted(read) if w == v and k in b.props)]
+            else:
+                names += self.columns_of_bound(v, b) if b.kind != "value" else [v]
+        names = list(dict.fromkeys(names))
+        inner = Planner(self.catalog, self.scope.params, self.mode)
+        inner.asked, inner.listed, inner.copied = mentions(s), lists(s), distinct_args(s)
+        if s.kind == "exists" and self.mode != "trail":
+            used = mentions(s.where) if s.where is not None else set()
+            inner.sets = {r.var for p in s.patterns for r in p.rels if r.low is not None and r.var not in used and not p.path}
+        if names:
+            inner.df = self.df.select(*map(col, names)).distinct()
+            inner.scope.vars = {v: self.scope.vars[v] for v in shared}
+            inner.scope.types = dict(self.scope.types)
+        inner.match(A.Match(s.patterns, s.where))
+        got = inner.df.select(*[col(c).alias(f"_e{i}") for i, c in enumerate(names)])
+        if not names and s.kind == "exists":
+            got = got.limit(1)
+        return got, reduce(lambda a, b: a & b, [col(c).eqNullSafe(F.col(f"_e{i}")) for i, c in enumerate(names)], F.lit(True))
+
     def optional(self, c: A.Match) -> None:
         before, scope = self.df.withColumn("_opt", F.monotonically_increasing_id()), self.scope.copy()
         shared = sorted({n.var for p in c.patterns for n in p.nodes} & set(scope.vars))
         if not shared:
             inner = Planner(self.catalog, scope.params, self.mode)
-            inner.asked, inner.listed = self.asked, self.listed
+            inner.asked, inner.listed, inner.copied = self.asked, self.listed, self.copied
             inner.match(replace(c, optional=False))
             self.df = self.df.join(inner.df.drop("_row"), F.lit(True), "left")
             self.scope.vars |= inner.scope.vars
@@ -138,7 +227,7 @@ class Planner:
         # match from the distinct keys of the shared variables, then join what was found to all rows
         keys = [identity(A.Var(v), scope) for v in shared]
         inner = Planner(self.catalog, scope.params, self.mode)
-        inner.asked, inner.sets, inner.listed = self.asked | set(shared), set(), self.listed
+        inner.asked, inner.sets, inner.listed, inner.copied = self.asked | set(shared), set(), self.listed, self.copied
         outer = mentions(c.where) - {n.var for p in c.patterns for n in p.nodes} - {r.var for p in c.patterns for r in p.rels} if c.where is not None else set()
         if outer & set(scope.vars):
             inner.df, inner.scope = before, scope.copy()
@@ -260,19 +349,21 @@ class Planner:
     def edges(self, r: A.RelPat, left: tuple, right: tuple, forward: bool) -> DataFrame:
         """Edges of a pattern as _from, _to (in walking order), with their labels and ends, type and properties."""
         out = []
+        apart = r.var in self.copied or self.mode == "trail" and r.low is not None
         for t in self.tables(r, left, right):
+            rows = numbered(t.df) if apart else t.df
             props = [col(c).alias(name_of(r.var, c)) for c in t.props]
-            row = [col("_src").alias(name_of(r.var, "_src")), col("_dst").alias(name_of(r.var, "_dst")), F.lit(t.name).alias(name_of(r.var, "_type")), *props]
+            row = [*[col(c).alias(name_of(r.var, c)) for c in ("_src", "_dst", *(["_copy"] if apart else []))], F.lit(t.name).alias(name_of(r.var, "_type")), *props]
             fits = lambda label, ok: not ok or label.upper() in {x.upper() for x in ok}
             for a, b, la, lb, use in (("_src", "_dst", t.src, t.dst, r.way != "in"), ("_dst", "_src", t.dst, t.src, r.way != "out")):
                 if use and fits(la, left) and fits(lb, right):
                     x, y, lx, ly = (a, b, la, lb) if forward else (b, a, lb, la)
-                    df = t.df.where("_src <> _dst") if r.way == "both" and a == "_dst" and t.src == t.dst else t.df
+                    df = rows.where("_src <> _dst") if r.way == "both" and a == "_dst" and t.src == t.dst else rows
                     out.append(df.select(col(x).alias("_from"), col(y).alias("_to"), F.lit(lx).alias("_lfrom"), F.lit(ly).alias("_lto"), *row))
         if not out:
             raise QueryError(f"no relationship table fits {'|'.join(r.types) or 'the pattern'}")
         df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), self.alike(out))
-        known = [c for c in df.columns if c.startswith(name_of(r.var, "")) and not c.endswith(("·_src", "·_dst", "·_type"))]
+        known = [c for c in df.columns if c.startswith(name_of(r.var, "")) and not c.endswith(("·_src", "·_dst", "·_type", "·_copy"))]
         self.scope.note(df)
         scope = Scope(self.scope.params)
         scope.types = self.scope.types
@@ -296,7 +387,7 @@ class Planner:
         if sb.columns:
             met &= col(sb.columns[0]) == F.col("_lfrom")
         df = self.df.join(edges, met).drop("_from", "_lfrom")
-        self.scope.vars[r.var] = Bound("rel", {c.partition("·")[2]: c for c in edges.columns if c.startswith(name_of(r.var, "")) and c.partition("·")[2] not in ("_src", "_dst", "_type")}, "", "", (name_of(r.var, "_type"),))
+        self.scope.vars[r.var] = Bound("rel", {c.partition("·")[2]: c for c in edges.columns if c.startswith(name_of(r.var, "")) and c.partition("·")[2] not in ("_src", "_dst", "_type", "_copy")}, "", "", tuple(name_of(r.var, c) for c in ("_type", "_copy") if name_of(r.var, c) in edges.columns))
         self.df = df
         self.arrive(target, labels[b])
 
@@ -326,7 +417,7 @@ class Planner:
         edges = self.edges(r, (), (), a < b)
         low, high = r.low, r.high if r.high is not None else paths.ENDLESS if r.shortest else paths.MOST_HOPS
         if self.mode == "trail":
-            edges = edges.withColumn("_eid", F.monotonically_increasing_id())
+            edges = edges.withColumn("_eid", F.xxhash64(F.to_json(F.struct(*[col(c) for c in edges.columns if c.startswith(name_of(r.var, ""))]))))
         key = self.key_of(source.var)
         starts = self.df.select(key.alias("_start")).where("_start IS NOT NULL").distinct()
         need_nodes = p.path in self.asked and bool(p.path) or r.var in self.listed
@@ -409,7 +500,9 @@ class Planner:
         return value
 
     def project(self, body: A.Projection, last: bool) -> None:
-        items, df, scope = self.items(body), self.start(), self.scope
+        items, scope = self.items(body), self.scope
+        self.mark([*(x.expr for x in items), *(e for e, _ in body.order)])
+        df = self.start()
         if len({x.name for x in items}) < len(items):
             raise QueryError("two columns of one name")
         done: dict = {}
@@ -437,12 +530,13 @@ class Planner:
                     group += [col(c) for c in self.columns_of_bound(x.expr.name, b)]
                 else:
                     group.append(compile_expr(x.expr, scope).alias(f"_key{k}"))
+                    group += [col(c) for c in b.columns[1:]] if b is not None and b.kind == "rel" else []
                     done[x.expr] = col(f"_key{k}")
             go = lambda e: compile_expr(e, scope)
             aggs = [aggregate(e, scope, go).alias(n) for e, n in calls.items()]
             df = df.groupBy(*group).agg(*aggs) if group else df.agg(*aggs)
             done |= {e: col(n) for e, n in calls.items()}
-        out, carry, seen = [], [], {}
+        out, carry, seen, hidden = [], [], {}, []  # hidden: what tells equal relationships apart
         for x in items:
             b = scope.vars.get(x.expr.name) if isinstance(x.expr, A.Var) else None
             if b is not None and b.kind != "value" and not last:
@@ -450,6 +544,8 @@ class Planner:
             else:
                 c = compile_expr(x.expr, scope, done)
                 out.append(c.alias(x.name))
+                if b is not None and b.kind == "rel":
+                    hidden += [col(c).alias(f"_cpy{len(hidden) + i}") for i, c in enumerate(b.columns[1:])]
                 seen[x.expr] = x.name
                 fresh.vars[x.name] = Bound("value")
         order = []
@@ -460,10 +556,10 @@ class Planner:
                 raise QueryError("ORDER BY of a DISTINCT result needs a column of it")
             order.append((compile_expr(expr, scope, done), down))
         sort = [c.alias(f"_ord{k}") for k, (c, _) in enumerate(order)]
-        df = df.select(*out, *carry, *sort)
+        df = df.select(*out, *carry, *sort, *hidden)
         if not last:
             fresh.note(df)
-        names = [c for c in df.columns if not c.startswith("_ord")]
+        names = [c for c in df.columns if not c.startswith(("_ord", "_cpy"))]
         if body.distinct:
             df = df.distinct()
         if sort:
@@ -472,11 +568,10 @@ class Planner:
             df = df.offset(self.number(body.skip))
         if body.limit is not None:
             df = df.limit(self.number(body.limit))
-        if sort:
+        if sort or hidden:
             df = df.select(*[col(c) for c in names])
         self.df, self.scope = df, fresh
-        if body.where is not None:
-            self.df = self.df.where(compile_expr(body.where, fresh))
+        self.keep(body.where)
         self.columns = names
 
     def columns_of_bound(self, var: str, b: Bound) -> list[str]:
