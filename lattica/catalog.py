@@ -51,6 +51,7 @@ class GraphCatalog:
         self.spark = spark
         self._nodes: dict[str, NodeTable] = {}
         self._rels: dict[str, RelTable] = {}
+        self.delivered: dict[str, int] = {}  # table -> the last batch of an ingest queue that it holds
 
     @property
     def nodes(self) -> list[NodeTable]:

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from .catalog import Databases, GraphCatalog
 from .cypher import ast as A
 from .cypher.parser import parse
+from .cypher.render import bind_text
 from .errors import DatabaseError, LatticaError, MissingKeyError, QueryError
 from .operators import mutate
 from .operators.paths import scratch_table
 from .plans.expressions import col, compile_expr, name_of
 from .plans.planner import Planner, plan_query
+from .streaming.changelog import ChangeLog
 from .types import to_spark
 
 _READING = (A.Match, A.With, A.Unwind, A.CallProc)
@@ -49,10 +51,12 @@ class Engine:
 
     mode: 'walk' (a pattern may use an edge twice) or 'trail' for variable-length patterns. strict_writes asks for the
     key of what a write creates or changes. store_every: so many changes of a table later it is stored, which cuts its
-    lineage (0: never).
+    lineage (0: never). log: a change log that every statement which changes something is appended to before it runs,
+    with its parameters written out and under the first shard of its database; ChangeLog.replay builds the graph again.
     """
 
-    def __init__(self, spark: SparkSession, mode: str = "walk", strict_writes: bool = False, store_every: int = 8):
+    def __init__(self, spark: SparkSession, mode: str = "walk", strict_writes: bool = False, store_every: int = 8, log: ChangeLog | None = None):
+        self.log = log
         self.spark, self.mode, self.strict_writes, self.store_every = spark, mode, strict_writes, store_every
         self.databases = Databases(spark)
         self.databases.create("default")
@@ -72,7 +76,11 @@ class Engine:
         tree = parse(text)
         if isinstance(tree, A.Admin):
             return self.admin(text)
-        return self._run(tree, dict(params or {}), self.databases.graph(database))
+        g = self.databases.graph(database)
+        reading = isinstance(tree, A.Query) and all(isinstance(c, (*_READING, A.Return)) for c in tree.clauses)
+        if self.log is not None and not reading:
+            self.log.append([(self.databases.get(database).shard_ids[0], bind_text(text, dict(params or {})))])
+        return self._run(tree, dict(params or {}), g)
 
     def query(self, text: str, params: dict | None = None, database: str = "default") -> QueryResult:
         begun = perf_counter()
@@ -84,6 +92,8 @@ class Engine:
         tree = parse(text)
         if not isinstance(tree, A.Admin):
             raise DatabaseError("an admin command expected")
+        if self.log is not None and tree.action != "show":
+            self.log.append([(0, text)])
         if tree.action == "create":
             self.databases.create(tree.name, tree.shards if tree.shards is not None else 3)
         elif tree.action != "show":

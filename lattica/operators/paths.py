@@ -20,15 +20,22 @@ ENDLESS = 2**31 - 1
 FEW = 1_000
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """df as a stored table in spark.checkpoint.dir, which cuts lineage and outlives executors."""
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: spark.checkpoint.dir, which only a local master may leave unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         base = "file://" + tempfile.mkdtemp(prefix="lattica-", dir="/tmp/checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/lattica/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/lattica"
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """df as a stored table in the shared folder, which cuts lineage and outlives executors."""
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

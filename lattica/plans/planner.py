@@ -130,7 +130,23 @@ class Planner:
 
     # ------------------------------------------------------------ patterns
 
+    def lifted(self, c: A.Match) -> A.Match:
+        """Properties whose values read other variables become conditions of WHERE."""
+        extra, patterns = [], []
+
+        def lift(x):
+            late = [(k, v) for k, v in x.props if mentions(v)] if isinstance(x, A.NodePat) or x.low is None else []
+            extra.extend(A.Op("=", (A.Prop(A.Var(x.var), k), v)) for k, v in late)
+            return replace(x, props=tuple(p for p in x.props if p not in late))
+
+        for p in c.patterns:
+            patterns.append(replace(p, nodes=tuple(map(lift, p.nodes)), rels=tuple(map(lift, p.rels))))
+        if not extra:
+            return c
+        return replace(c, patterns=tuple(patterns), where=reduce(lambda a, b: A.Op("and", (a, b)), [*([c.where] if c.where is not None else []), *extra]))
+
     def match(self, c: A.Match) -> None:
+        c = self.lifted(c)
         if c.optional and self.df is not None:
             return self.optional(c)
         self.pushed = [e for e in conjuncts(c.where) if not subqueries(e)]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,6 +100,13 @@ cypher("q48_avg_distinct", "MATCH (p:Person) WHERE p.city = 'BUILDING' RETURN av
 cypher("q49_whole_division", "MATCH (p:Person) WHERE p.age > 75 RETURN p.name AS name, p.age / 7 AS q, -7 / 2 AS m, p.age / 2.0 AS h", f"{P} SELECT name, CAST(age // 7 AS BIGINT) AS q, CAST(-3 AS BIGINT) AS m, age / 2.0 AS h FROM person WHERE age > 75")
 cypher("q50_size_of_text", "MATCH (p:Person) WHERE size(p.city) > 8 RETURN p.city AS city, max(size(p.name)) AS n", f"{P} SELECT city, CAST(max(length(name)) AS INTEGER) AS n FROM person WHERE length(city) > 8 GROUP BY city")
 cypher("q51_nodes_of_hops", f"MATCH (a:Person {{name: '{A7}'}})-[r:KNOWS*2..2]->(b:Person) WITH nodes(r) AS ns, b.name AS name RETURN DISTINCT ns[1] AS mid, size(ns) AS n, name", f"{PK} SELECT DISTINCT x.dst AS mid, CAST(3 AS INTEGER) AS n, y.dst AS name FROM named x JOIN named y ON x.dst = y.src WHERE x.src = '{A7}'")
+cypher("q52_exists_pattern", "MATCH (p:Person) WHERE (p)-[:KNOWS {since: 2020}]->(:Person {city: 'BUILDING'}) RETURN p.name AS name", f"{PK} SELECT name FROM person p WHERE EXISTS (SELECT 1 FROM named n JOIN person q ON q.name = n.dst WHERE n.src = p.name AND since = 2020 AND q.city = 'BUILDING')")
+cypher("q53_not_exists", "MATCH (p:Person) WHERE NOT EXISTS { MATCH (p)-[r:KNOWS]->(q:Person) WHERE q.age > p.age } AND p.age < 60 RETURN p.name AS name, p.age AS age", f"{PK} SELECT name, age FROM person p WHERE age < 60 AND NOT EXISTS (SELECT 1 FROM named n JOIN person q ON q.name = n.dst WHERE n.src = p.name AND q.age > p.age)")
+cypher("q54_count_subquery", "MATCH (p:Person) RETURN p.city AS city, COUNT { (p)-[:KNOWS]->(:Person) } AS friends, count(*) AS n", f"{PK}, f AS (SELECT p.city, p.name, count(n.dst) AS friends FROM person p LEFT JOIN named n ON n.src = p.name GROUP BY 1, 2) SELECT city, friends, count(*) AS n FROM f GROUP BY 1, 2")
+cypher("q55_parallel_rels", "MATCH (a:Person)-[r:KNOWS]-(b:Person) RETURN count(DISTINCT r) AS rels, count(r) AS seen", f"{PK} SELECT count(*) AS rels, count(*) + count(*) FILTER (src <> dst) AS seen FROM named")
+cypher("q56_all_shortest", f"MATCH (a:Person {{name: '{A7}'}})-[r:KNOWS* ALL SHORTEST 1..3]->(b:Person) RETURN b.name AS name, length(r) AS hops, count(*) AS paths", f"{PK}, w AS ({_WALK}), m AS (SELECT dst, min(hops) AS hops FROM w GROUP BY 1) SELECT w.dst AS name, m.hops AS hops, count(*) AS paths FROM w JOIN m ON m.dst = w.dst AND m.hops = w.hops GROUP BY 1, 2")
+cypher("q57_spread", "MATCH (p:Person) RETURN p.city AS city, round(stdev(p.age), 6) AS s, percentileCont(p.age, 0.25) AS q, size(collect(p.age)) AS n, size(collect(DISTINCT p.age)) AS d", f"{P} SELECT city, round(stddev_samp(age), 6) AS s, quantile_cont(age, 0.25) AS q, CAST(count(age) AS INTEGER) AS n, CAST(count(DISTINCT age) AS INTEGER) AS d FROM person GROUP BY 1")
+cypher("q58_null_order", "MATCH (p:Person) WITH p.name AS name, CASE WHEN p.age > 40 THEN p.age ELSE NULL END AS a RETURN name, a ORDER BY a, name SKIP 5 LIMIT 40", f"{P} SELECT name, CASE WHEN age > 40 THEN age END AS a FROM person ORDER BY a NULLS FIRST, name LIMIT 40 OFFSET 5")
 
 
 # ---------------------------------------------------------------- analytics
@@ -256,12 +261,7 @@ def q39(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        base = "file://" + tempfile.mkdtemp(prefix="lattica-", dir="/tmp/checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lattica/{uuid.uuid4().hex}"
+    return f"{paths.scratch_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @register("q40_ingest_events", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
@@ -290,6 +290,48 @@ def q47(spark, sf_dir):
     return e.cypher("MATCH (p:Person) RETURN p.city AS city, count(p) AS n, sum(p.age) AS ages")
 
 
+@register("q59_load_rels", f"{PK} SELECT p.city, count(*) AS n, CAST(sum(since) AS BIGINT) AS s FROM named JOIN person p ON p.name = dst GROUP BY 1")
+def q59(spark, sf_dir):
+    g, nodes, rels = social_graph(spark, sf_dir), _folder(spark), _folder(spark)
+    csv_io.write_csv(g.node("Person").df.select("name", "age", "city"), nodes)
+    csv_io.write_csv(csv_io.export_edges(g, "KNOWS", keep_parallel=True), rels)
+    e = Engine(spark)
+    e.cypher("CREATE NODE TABLE Person(name STRING, age INT64, city STRING, PRIMARY KEY(name))")
+    e.cypher("CREATE REL TABLE KNOWS(FROM Person TO Person, since INT64)")
+    e.cypher(f"COPY Person FROM '{nodes}' (HEADER=true)")
+    e.cypher(f"COPY KNOWS FROM '{rels}' (HEADER=true)")
+    return e.cypher("MATCH (:Person)-[r:KNOWS]->(p:Person) RETURN p.city AS city, count(r) AS n, sum(r.since) AS s")
+
+
+QUERIES["q60_alter"] = after("ALTER TABLE Person ADD grade INT64 DEFAULT 7", "ALTER TABLE Person RENAME city TO town", "ALTER TABLE KNOWS DROP since", show="MATCH (p:Person) RETURN p.town AS town, sum(p.grade) AS grades, COUNT { (p)-[:KNOWS]->(:Person) } > 0 AS knows")
+ORACLE_SQL["q60_alter"] = f"{PK} SELECT city AS town, CAST(7 * count(*) AS BIGINT) AS grades, name IN (SELECT src FROM named) AS knows FROM person GROUP BY 1, 3"
+
+
+@register("q61_ingest_graph", f"{PK} SELECT p.city AS city, count(*) AS n FROM named JOIN person p ON p.name = src GROUP BY 1")
+def q61(spark, sf_dir):
+    g, queue, e = social_graph(spark, sf_dir), IngestQueue(spark, _folder(spark)), Engine(spark)
+    e.cypher("CREATE NODE TABLE Person(name STRING, city STRING, PRIMARY KEY(name))")
+    e.cypher("CREATE REL TABLE KNOWS(FROM Person TO Person, since INT64)")
+    queue.submit("KNOWS", g.rel("KNOWS").df.select("_src", "_dst", "since"), kind="edges")
+    queue.submit("Person", g.node("Person").df.select("name", "city"))
+    queue.deliver(e.graph, "KNOWS")  # makes the ends that are not there yet
+    queue.deliver(e.graph, "Person")
+    return e.cypher("MATCH (p:Person)-[r:KNOWS]->(:Person) RETURN p.city AS city, count(r) AS n")
+
+
+@register("q62_log_replay", "SELECT * FROM (VALUES ('a', 5, 'X'), ('b', 2, NULL)) t(name, age, city)")
+def q62(spark, sf_dir):
+    log = changelog.ChangeLog(spark, _folder(spark))
+    e = Engine(spark, log=log)
+    e.cypher("CREATE NODE TABLE Person(name STRING, age INT64, city STRING, PRIMARY KEY(name))")
+    e.cypher("CREATE (p:Person {name: $n, age: 4, city: 'X'})", {"n": "a"})
+    e.cypher("MERGE (p:Person {name: 'b'}) ON CREATE SET p.age = 2")
+    e.cypher("MATCH (p:Person {name: 'a'}) SET p.age = p.age + 1")
+    again = Engine(spark)
+    log.replay(again)
+    return again.cypher("MATCH (p:Person) RETURN p.name AS name, p.age AS age, p.city AS city")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Friends of friends by city, from one person."""
     return engine(spark, sf_dir).cypher("MATCH (a:Person {name: $name})-[:KNOWS]->(b)-[:KNOWS]->(c:Person) WHERE a.name <> c.name RETURN c.city AS city, count(DISTINCT c) AS people, avg(c.age) AS age ORDER BY city", {"name": A7})

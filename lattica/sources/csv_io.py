@@ -70,6 +70,23 @@ def load_nodes(graph: GraphCatalog, table: str, path: str, header: bool = True,
     return LoadResult(t.name, good.count(), bad)
 
 
+def put_edges(graph: GraphCatalog, table: str, good: DataFrame, ends: str = "report") -> DataFrame:
+    """Append stored rows (_src, _dst, properties) to a relationship table; what was appended. ends: see load_edges."""
+    t = graph.rel(table)
+    if ends == "skip":
+        for c, label in (("_src", t.src), ("_dst", t.dst)):
+            n = graph.node(label)
+            good = good.join(n.df.select(F.col(n.key).alias(c)).distinct(), c, "left_semi").select(*good.columns)
+        good = scratch_table(good, "edges")
+    elif ends == "create":
+        for c, label in (("_src", t.src), ("_dst", t.dst)):
+            n = graph.node(label)
+            fresh = good.select(F.col(c).alias(n.key)).where(F.col(n.key).isNotNull()).distinct().join(n.df.select(n.key), n.key, "left_anti")
+            graph.bind(n.name, append(n.df, scratch_table(fresh, "ends")))
+    graph.bind(t.name, append(t.df, good))
+    return good
+
+
 def load_edges(graph: GraphCatalog, table: str, path: str, header: bool = True, strict: bool = True, ends: str = "report", sep: str = ",") -> LoadResult:
     """Append a CSV of relationships: the first two columns are the keys of the ends, the rest properties.
 
@@ -83,18 +100,7 @@ def load_edges(graph: GraphCatalog, table: str, path: str, header: bool = True,
     fields = {f.name: f for f in t.df.schema}
     schema = T.StructType([T.StructField(c, fields[c].dataType) for c in ("_src", "_dst")] + _ordered({n: f for n, f in fields.items() if n in t.props}, names[2:], table).fields)
     good, bad = _take(read_checked(graph.spark, path, schema, header, sep), strict, table)
-    if ends == "skip":
-        for c, label in (("_src", t.src), ("_dst", t.dst)):
-            n = graph.node(label)
-            good = good.join(n.df.select(F.col(n.key).alias(c)).distinct(), c, "left_semi").select(*good.columns)
-        good = scratch_table(good, "edges")
-    elif ends == "create":
-        for c, label in (("_src", t.src), ("_dst", t.dst)):
-            n = graph.node(label)
-            fresh = good.select(F.col(c).alias(n.key)).where(F.col(n.key).isNotNull()).distinct().join(n.df.select(n.key), n.key, "left_anti")
-            graph.bind(n.name, append(n.df, scratch_table(fresh, "ends")))
-    graph.bind(t.name, append(t.df, good))
-    return LoadResult(t.name, good.count(), bad)
+    return LoadResult(t.name, put_edges(graph, table, good, ends).count(), bad)
 
 
 def missing_ends(graph: GraphCatalog, table: str) -> DataFrame:
@@ -130,16 +136,54 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).option("nullValue", "").option("emptyValue", '""').csv(path)
 
 
-def to_statements(graph: GraphCatalog, table: str) -> DataFrame:
-    """statement: a CREATE for each node, null properties left out; Engine.cypher runs them."""
-    t = graph.node(table)
+def _literal(c, kind: T.DataType):
+    """A column's values as text of the query language."""
+    if isinstance(kind, T.StringType):
+        for raw, safe in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r")):
+            c = F.replace(c, F.lit(raw), F.lit(safe))
+        return F.concat(F.lit("'"), c, F.lit("'"))
+    if isinstance(kind, (T.DateType, T.TimestampType)):
+        return F.concat(F.lit("date('" if isinstance(kind, T.DateType) else "timestamp('"), c.cast("string"), F.lit("')"))
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        text = c.cast("string")
+        return F.when(text.isin("NaN", "Infinity", "-Infinity"), F.concat(F.lit("toFloat('"), text, F.lit("')"))).otherwise(text)
+    if isinstance(kind, T.ArrayType):
+        items = F.transform(c, lambda x: F.coalesce(_literal(x, kind.elementType), F.lit("NULL")))
+        return F.when(c.isNotNull(), F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]")))
+    return c.cast("string")
+
 
-    def literal(f: T.StructField):
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.StringType):
-            quoted = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
-            return F.concat(F.lit("'"), quoted, F.lit("'"))
-        return c.cast("string")
+def _props(fields: list[T.StructField]):
+    """{name: value, ...} without the nulls."""
+    if not fields:
+        return F.lit("")
+    pairs = F.array_compact(F.array(*[F.concat(F.lit(f"`{f.name}`: "), _literal(F.col(f"`{f.name}`"), f.dataType)) for f in fields]))
+    return F.when(F.size(pairs) > 0, F.concat(F.lit(" {"), F.array_join(pairs, ", "), F.lit("}"))).otherwise("")
 
-    props = F.array_compact(F.array(*[F.concat(F.lit(f"{f.name}: "), literal(f)) for f in t.df.schema]))
-    return t.df.select(F.concat(F.lit(f"CREATE (:{t.name} {{"), F.array_join(props, ", "), F.lit("})")).alias("statement"))
+
+def to_statements(graph: GraphCatalog, table: str) -> DataFrame:
+    """statement: a CREATE for each node or relationship of a table, null properties left out; run_statements runs them.
+
+    Relationships find their ends by key, so nodes go first. One without an end's key has no statement.
+    """
+    if any(n.name.upper() == table.upper() for n in graph.nodes):
+        t = graph.node(table)
+        return t.df.select(F.concat(F.lit(f"CREATE (:{t.name}"), _props(t.df.schema.fields), F.lit(")")).alias("statement"))
+    r = graph.rel(table)
+    end = lambda v, label, c: F.concat(F.lit(f"({v}:{label} {{`{graph.node(label).key}`: "), _literal(F.col(c), r.df.schema[c].dataType), F.lit("})"))
+    props = _props([f for f in r.df.schema if f.name in r.props])
+    line = F.concat(F.lit("MATCH "), end("a", r.src, "_src"), F.lit(", "), end("b", r.dst, "_dst"), F.lit(f" CREATE (a)-[:{r.name}"), props, F.lit("]->(b)"))
+    return r.df.where("_src IS NOT NULL AND _dst IS NOT NULL").select(line.alias("statement"))
+
+
+def run_statements(engine, statements: DataFrame, database: str = "default") -> tuple[int, int]:
+    """Run the statements of a DataFrame one after another, a partition of them on the driver at a time; how many ran and
+    how many failed. For whole tables the CSV or snapshot functions load without a plan for each row."""
+    ran = failed = 0
+    for (line,) in statements.select("statement").toLocalIterator():
+        try:
+            engine.cypher(line, database=database)
+            ran += 1
+        except Exception:  # noqa: BLE001  a statement that fails is counted, and the next one runs
+            failed += 1
+    return ran, failed

@@ -1,7 +1,8 @@
 """A durable ingest queue: jobs are files in a spool, loaded by a Structured Streaming query with a checkpoint.
 
-A job is written whole and then moved into the inbox of its table, so the stream never sees half of one. Each micro
-batch is checked and appended under its batch number: a batch that runs again writes the same folder again.
+A job is a folder that is written whole, by as many tasks as its rows have, and then moved into the inbox of its table,
+so the stream never sees half of one. Each micro batch is checked and stored under its batch number: a batch that runs
+again writes the same folder again. deliver puts batches into a graph, which remembers the last one it holds.
 """
 
 from __future__ import annotations
@@ -14,7 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..catalog import GraphCatalog
 from ..errors import QueryError
+from ..operators.mutate import upsert
+from ..operators.paths import scratch_table
+from ..sources.csv_io import put_edges
 from ..sources.snapshot import _fs
 
 _BAD = "_corrupt_record"
@@ -22,7 +27,8 @@ JOB = "id string, table string, kind string, submitted_at double, file string"
 
 
 class IngestQueue:
-    """Jobs of CSV rows for tables with known schemas, below one folder that all executors reach."""
+    """Jobs of CSV rows for tables with known schemas, below one folder that all executors reach. A name of a table that
+    holds both kinds of rows is the caller's error: kind says what a job was submitted as."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -36,22 +42,20 @@ class IngestQueue:
         fs.mkdirs(inbox)
         new = self.spark._jvm.org.apache.hadoop.fs.Path
         if isinstance(rows, str):
-            part = new(f"{self.folder}/spool/{job}.csv")
-            out = fs.create(part)
+            out = fs.create(new(f"{self.folder}/spool/{job}/part-0.csv"))
             out.write(bytearray(rows.encode()))
             out.close()
         else:
-            rows.coalesce(1).write.option("header", True).csv(f"{self.folder}/spool/{job}")
-            part = next(s.getPath() for s in fs.listStatus(new(f"{self.folder}/spool/{job}")) if s.getPath().getName().startswith("part-"))
-        self.spark.createDataFrame([(job, table, kind, time.time(), f"{job}.csv")], JOB).coalesce(1).write.mode("append").json(f"{self.folder}/jobs")
-        fs.rename(part, new(f"{self.folder}/inbox/{table}/{job}.csv"))
+            rows.write.option("header", True).csv(f"{self.folder}/spool/{job}")
+        self.spark.createDataFrame([(job, table, kind, time.time(), job)], JOB).coalesce(1).write.mode("append").json(f"{self.folder}/jobs")
+        fs.rename(new(f"{self.folder}/spool/{job}"), new(f"{self.folder}/inbox/{table}/{job}"))
         return job
 
     def run(self, table: str, schema: T.StructType, flush_files: int = 50) -> DataFrame:
         """Load all that waits for a table; its rows so far. Malformed rows are left out and counted by job."""
         whole = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-        stream = self.spark.readStream.schema(whole).option("header", True).option("columnNameOfCorruptRecord", _BAD).option("maxFilesPerTrigger", flush_files).csv(f"{self.folder}/inbox/{table}")
-        named = stream.withColumn("_job", F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))
+        stream = self.spark.readStream.schema(whole).option("header", True).option("columnNameOfCorruptRecord", _BAD).option("maxFilesPerTrigger", flush_files).option("recursiveFileLookup", True).csv(f"{self.folder}/inbox/{table}")
+        named = stream.withColumn("_job", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1))
 
         def load(batch: DataFrame, number: int) -> None:
             # every column is read and stored before any is counted
@@ -62,15 +66,45 @@ class IngestQueue:
         query.awaitTermination()
         return self.rows(table, schema)
 
+    def deliver(self, graph: GraphCatalog, table: str, flush_files: int = 50) -> int:
+        """Load all that waits for a table of a graph, and put the batches that the graph lacks into it; how many rows.
+
+        Nodes are merged by key: a column that is null leaves what the table has, rows without a key are left out. The
+        columns of relationships are the keys of the ends and then the properties; ends without a node get one that has
+        nothing but its key. Columns stand in the table's order. A snapshot of the graph carries the number of the last
+        batch, so a graph that is restored takes up where it was.
+        """
+        is_node = any(n.name.upper() == table.upper() for n in graph.nodes)
+        t = graph.node(table) if is_node else graph.rel(table)
+        order = t.props if is_node else ["_src", "_dst", *t.props]
+        schema = T.StructType([T.StructField(c, t.df.schema[c].dataType) for c in order])
+        self.run(table, schema, flush_files)
+        last = graph.delivered.get(t.name.upper(), -1)
+        numbered = self._batches(table, schema)
+        if "batch" not in numbered.columns:
+            return 0
+        fresh = numbered.where(F.col(_BAD).isNull() & (F.col("batch") > last))
+        ends = fresh.agg(F.max("batch"), F.count("*")).first()
+        if not ends[1]:
+            return 0
+        rows = fresh.select(*[F.col(f"`{c}`") for c in order])
+        if is_node:
+            graph.bind(t.name, scratch_table(upsert(t.df, rows, t.key), f"table-{t.name.lower()}"))
+        else:
+            put_edges(graph, t.name, rows.where("_src IS NOT NULL AND _dst IS NOT NULL"), "create")
+        graph.delivered[t.name.upper()] = ends[0]
+        return ends[1]
+
     def _batches(self, table: str, schema: T.StructType) -> DataFrame:
         fs, at = _fs(self.spark, f"{self.folder}/batches/{table}")
         kept = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType()), T.StructField("_job", T.StringType())])
         if not fs.exists(at):
             return self.spark.createDataFrame([], kept)
-        return self.spark.read.schema(kept).parquet(f"{self.folder}/batches/{table}/batch=*")
+        kept.add("batch", T.LongType())
+        return self.spark.read.schema(kept).parquet(f"{self.folder}/batches/{table}")
 
     def rows(self, table: str, schema: T.StructType) -> DataFrame:
-        return self._batches(table, schema).where(F.col(_BAD).isNull()).drop(_BAD, "_job")
+        return self._batches(table, schema).where(F.col(_BAD).isNull()).drop(_BAD, "_job", "batch")
 
     def jobs(self, schemas: dict[str, T.StructType]) -> DataFrame:
         """id, table, kind, status (pending, completed, failed), loaded, errors."""
@@ -99,8 +133,8 @@ class IngestQueue:
                 continue
             done = {r[0] for r in self.spark.read.parquet(f"{self.folder}/batches/{name}/batch=*").select("_job").distinct().collect()}
             for s in fs.listStatus(t.getPath()):
-                if s.getModificationTime() < before and s.getPath().getName().removesuffix(".csv") in done:
-                    gone += bool(fs.delete(s.getPath(), False))
+                if s.getModificationTime() < before and s.getPath().getName() in done:
+                    gone += bool(fs.delete(s.getPath(), True))
         return gone
 
 
