@@ -111,6 +111,25 @@ def differing(a: list[Column], b: list[Column]) -> Column:
     return out
 
 
+def parities(keys: np.ndarray, counts: np.ndarray, bits: int = 1024) -> np.ndarray:
+    """How many shingles a multiset has, and for each of bits cells, into which hashes deal them, whether their number is
+    odd, as 64-bit words."""
+    odd = mix(keys[counts % 2 == 1] ^ M2) % np.uint64(bits)
+    cells = (np.bincount(odd.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.concatenate([[counts.sum()], np.packbits(cells).view(np.int64)])
+
+
+def reachable(a: list[Column], b: list[Column], threshold: float) -> Column:
+    """Whether multisets with these parities may be as similar as threshold. No pair that is gets lost: shingles that only
+    one of two multisets has number at least the cells that differ, and at least what one has more than the other; at
+    similarity t they are (1 - t) / (1 + t) of the shingles of both."""
+    cells = F.lit(0)
+    for x, y in zip(a[1:], b[1:]):
+        cells = cells + F.bit_count(x.bitwiseXOR(y))
+    most = (a[0] + b[0]) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    return (F.abs(a[0] - b[0]) <= most) & (cells <= most)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two multisets of shingles; of two empty ones 1."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -135,8 +154,8 @@ def _values(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, m: int = 128, rows: int = 4) -> DataFrame:
-    """doc_id, h1, h2 (of the text), node, bands, sketch of documents (doc_id, text); a text without words has null for
-    the last three."""
+    """doc_id, h1, h2 (of the text), node, bands, sketch (its words, and then the parities) of documents (doc_id, text); a
+    text without words has null for the last three."""
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -149,8 +168,9 @@ def signatures(docs: DataFrame, m: int = 128, rows: int = 4) -> DataFrame:
                     out.append((None, None))
                     continue
                 if last is None or last[0] != node:
-                    sig = signature(*shingles(flat[at[i] : at[i + 1]]), m)
-                    last = node, (bands(sig, rows), sketch(sig))
+                    bag = shingles(flat[at[i] : at[i + 1]])
+                    sig = signature(*bag, m)
+                    last = node, (bands(sig, rows), np.concatenate([sketch(sig), parities(*bag)]))
                 out.append(last[1])
             lists = [pa.array([x[k] for x in out], pa.list_(pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], *lists], names=["doc_id", "h1", "h2", "node", "bands", "sketch"])
@@ -168,7 +188,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, m: int = 128, rows:
 
     Texts of equal words are one node. Nodes are linked if the weighted Jaccard similarity of their shingles of five
     words is at least threshold; classes are what links connect. Texts without words are in no class. Candidates share
-    a band; those not met by way of a common head must also not differ in more registers than such texts do.
+    a band; those not met by way of a common head must also not differ in more registers than such texts do, and not in
+    more shingles than such texts can.
     """
     signed = table(signatures(docs, m, rows), "signatures").where("node IS NOT NULL")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.min(F.struct("h1", "h2")).alias("text"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -205,9 +226,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, m: int = 128, rows:
     # registers that differ: as many as leave a pair at the threshold out once in some hundred thousand times
     expected = (1 - threshold) * 15 / 16
     most = int(m * expected + 4.5 * (m * expected * (1 - expected)) ** 0.5)
-    words = [f"s{i}" for i in range(m // 16)]
-    sketches = lambda some: nodes.join(some, "node", "left_semi").select("node", *[F.element_at("sketch", i + 1).alias(w) for i, w in enumerate(words)])
-    near = lambda x, y: differing(*([F.col(f"{k}.{w}") for w in words] for k in (x, y))) <= most
+    words, cells = [f"s{i}" for i in range(m // 16)], [f"p{i}" for i in range(17)]
+    of = lambda k, names: [F.col(f"{k}.{w}") for w in names]
+    sketches = lambda some: nodes.join(some, "node", "left_semi").select("node", *[F.element_at("sketch", i + 1).alias(w) for i, w in enumerate(words + cells)])
+    near = lambda x, y: (differing(of(x, words), of(y, words)) <= most) & reachable(of(x, cells), of(y, cells), threshold)
     groups, _ = group_buckets(shared, verify, sketches, near, star_shared=2, rounds=2)
     rooted = nodes.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id", "n")
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_rows"))
