@@ -81,9 +81,14 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df is counted to be of at most so many rows."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to be of at most so many rows, else as it is: the planner shuffles it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if it is small, else as it is: the planner shuffles it."""
+    return F.broadcast(df) if small(df, rows) else df
 
 
 def ascii_lower(text: Column) -> Column:

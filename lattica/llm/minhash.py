@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, key128, prepare, sized, table
+from .common import fresh, key128, prepare, sized, small, table
 from .linkage import group_buckets
 
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -200,12 +200,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, m: int = 128, rows:
     # the texts that can be asked for, fetched once by their hashes
     first = nodes.select("node", "text.h1", "text.h2").join(shared.select("node").distinct(), "node", "left_semi")
     h1, h2 = key128(F.col("text"))
-    found = docs.select("text", h1.alias("h1"), h2.alias("h2")).join(sized(table(first, "first")), ["h1", "h2"])
-    texts = table(found.groupBy("node").agg(F.first("text").alias("text")), "texts", "zstd")
+    first = table(first, "first")
+    keyed = docs.select("text", h1.alias("h1"), h2.alias("h2"))
+    if small(first):
+        texts = keyed.join(F.broadcast(first), ["h1", "h2"]).groupBy("h1", "h2", "node").agg(F.first("text").alias("text"))
+    else:  # copies become one row before the shuffle, and the join is dealt as they are
+        texts = keyed.groupBy("h1", "h2").agg(F.first("text").alias("text")).join(first, ["h1", "h2"])
+    texts = table(texts.select("node", "text"), "texts", "zstd")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = table(pairs, "pairs")
-        both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
+        asked = sized(table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked"))
+        some = texts.join(asked, "node", "left_semi")
+        both = pairs.join(some.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").join(some.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def run(batches):
@@ -248,10 +255,11 @@ def label_classes(docs: DataFrame, threshold: float = 0.8, root: str | None = No
     a, b, c = (fresh(docs, x) for x in ("_h1", "_h2", "_rows"))
     classes = near_duplicates(docs.select("doc_id", "text"), threshold)
     classes = table(classes.select(F.col("h1").alias(a), F.col("h2").alias(b), "class_id", F.col("class_rows").alias(c), "root"), "labels")
-    h1, h2 = key128(F.col("text"))
-    joined = docs.join(sized(classes), (h1 == F.col(a)) & (h2 == F.col(b)), "left")
-    more = [classes["root"].alias(root)] if root else []
-    return joined.select(*[docs[x] for x in docs.columns], *more, F.when(F.col(c).isNull(), docs["doc_id"]).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(c, F.lit(1)).alias("class_rows"))
+    # hashed before the join: a text that nobody asks for is not shuffled
+    keyed = docs.withColumns(dict(zip((a, b), key128(F.col("text")))))
+    more = [F.col(root)] if root else []
+    joined = keyed.join(sized(classes.select(a, b, "class_id", c, *[F.col("root").alias(x) for x in (root,) if x])), [a, b], "left")
+    return joined.select(*[keyed[x] for x in docs.columns], *more, F.when(F.col(c).isNull(), keyed["doc_id"]).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(c, F.lit(1)).alias("class_rows"))
 
 
 def op6_minhash_dedup(spark, sf_dir: str) -> DataFrame:
