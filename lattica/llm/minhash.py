@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, key128, prepare, sized, small, table
+from .common import fresh, key128, prepare, sized, small, table, tidy
 from .linkage import group_buckets
 
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -130,6 +130,11 @@ def reachable(a: list[Column], b: list[Column], threshold: float) -> Column:
     return (F.abs(a[0] - b[0]) <= most) & (cells <= most)
 
 
+def first_shared(a: list[Column], b: list[Column], bucket: Column) -> Column:
+    """Whether bucket is the first band that documents with the bands a and b share: true in one of their buckets."""
+    return F.coalesce(*[F.when(x == y, x) for x, y in zip(a, b)]) == bucket
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two multisets of shingles; of two empty ones 1."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -233,11 +238,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, m: int = 128, rows:
     # registers that differ: as many as leave a pair at the threshold out once in some hundred thousand times
     expected = (1 - threshold) * 15 / 16
     most = int(m * expected + 4.5 * (m * expected * (1 - expected)) ** 0.5)
-    words, cells = [f"s{i}" for i in range(m // 16)], [f"p{i}" for i in range(17)]
+    words, cells, places = [f"s{i}" for i in range(m // 16)], [f"p{i}" for i in range(17)], [f"b{i}" for i in range(m // rows)]
     of = lambda k, names: [F.col(f"{k}.{w}") for w in names]
-    sketches = lambda some: nodes.join(some, "node", "left_semi").select("node", *[F.element_at("sketch", i + 1).alias(w) for i, w in enumerate(words + cells)])
+    sketches = lambda some: nodes.join(some, "node", "left_semi").select("node", *[F.element_at("sketch", i + 1).alias(w) for i, w in enumerate(words + cells)], *[F.element_at("bands", i + 1).alias(w) for i, w in enumerate(places)])
     near = lambda x, y: (differing(of(x, words), of(y, words)) <= most) & reachable(of(x, cells), of(y, cells), threshold)
-    groups, _ = group_buckets(shared, verify, sketches, near, star_shared=2, rounds=2)
+    once = lambda x, y: first_shared(of(x, places), of(y, places), F.col(f"{x}.bucket"))
+    groups, _ = group_buckets(shared, verify, sketches, near, star_shared=2, rounds=2, once=once)
     rooted = nodes.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id", "n")
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_rows"))
     of = table(rooted.join(classes, "root").select("node", "root", "class_id", "class_rows"), "classes")
@@ -253,8 +259,8 @@ def label_classes(docs: DataFrame, threshold: float = 0.8, root: str | None = No
     """
     docs = docs.drop("class_id", "class_rows")
     a, b, c = (fresh(docs, x) for x in ("_h1", "_h2", "_rows"))
-    classes = near_duplicates(docs.select("doc_id", "text"), threshold)
-    classes = table(classes.select(F.col("h1").alias(a), F.col("h2").alias(b), "class_id", F.col("class_rows").alias(c), "root"), "labels")
+    found = lambda: near_duplicates(docs.select("doc_id", "text"), threshold)
+    classes = tidy(lambda: table(found().select(F.col("h1").alias(a), F.col("h2").alias(b), "class_id", F.col("class_rows").alias(c), "root"), "labels"))
     # hashed before the join: a text that nobody asks for is not shuffled
     keyed = docs.withColumns(dict(zip((a, b), key128(F.col("text")))))
     more = [F.col(root)] if root else []
