@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, crc_mod, drop_table, prepare, table
+from .common import crc_mod, drop_table, prepare, split_words, table
 from .minhash import GOLD, mix
 
-WORD = r"[^\x20\x09-\x0D]+"
+APART = " \t\n\v\f\r"  # stands in no word
 END = "\n"  # no word holds it
 
 
@@ -117,8 +117,7 @@ def discount(one: int, two: int) -> float:
 
 def words(text: Column) -> Column:
     """Words of a text, A-Z lowered, and the end; null is empty."""
-    found = F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    return F.array_append(found, F.lit(END))
+    return F.array_append(split_words(text, APART), F.lit(END))
 
 
 def _slices(batches, column: int, step: int = 1_000_000):
