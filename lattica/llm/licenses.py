@@ -83,6 +83,14 @@ def template_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES), "license string, notice string")
 
 
+def spans_of(blocks: DataFrame) -> DataFrame:
+    """file_key, unit, t, span: the terms of the first 2 to 24 lines of blocks (file_key, unit, ls), as many as there are.
+    No term goes over a line's end, so each line is cut once and not once a span."""
+    worded = blocks.select("file_key", "unit", F.transform("ls", terms).alias("ts"))
+    spans = [F.when(F.size("ts") >= k, F.struct(F.lit(k).alias("span"), F.flatten(F.slice("ts", 1, k)).alias("t"))) for k in SPANS]
+    return worded.select("file_key", "unit", F.explode(F.array_compact(F.array(*spans))).alias("s")).select("file_key", "unit", "s.t", "s.span")
+
+
 def scan(files: DataFrame, templates: DataFrame, least: float = 0.7) -> DataFrame:
     """file_key, unit (first line from 0, or -1: the whole text), license, cosine: of each unit that reaches least, its best
     template. files: file_key (long), text. Null and empty texts have no units. Ties go to the smaller licence id."""
@@ -96,8 +104,7 @@ def scan(files: DataFrame, templates: DataFrame, least: float = 0.7) -> DataFram
     telling = lambda w: w.isin(*vocabulary)
     blocks = table(lines.where(F.exists("t", telling)).select("file_key", "unit", "ls"), "telling")
     some = blocks.select("file_key", "unit", terms(F.element_at("ls", 1)).alias("t"), F.lit(1).alias("span"))
-    spans = [F.when(F.size("ls") >= k, F.struct(F.lit(k).alias("span"), terms(F.array_join(F.slice("ls", 1, k), "\n")).alias("t"))) for k in SPANS]
-    wide = blocks.select("file_key", "unit", F.explode(F.array_compact(F.array(*spans))).alias("s")).select("file_key", "unit", "s.t", "s.span")
+    wide = spans_of(blocks)
     # where more distinct words stand outside the templates than this, no cosine reaches least
     inside = F.size(F.filter("t", telling))
     room = inside * inside * F.lit((1 / least**2 - 1) if least > 0 else float("inf"))
