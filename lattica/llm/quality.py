@@ -8,12 +8,14 @@ coordinate descent (Hsieh et al., 2008). Every token of every text is read; the
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, prepare
+from .common import crc_mod, give_back, prepare
 from .minhash import GOLD, M1, M2, mix
 
 TOKEN = r"(?U)\w+|[^\w\s]+"
@@ -102,14 +104,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int
     r = np.log((p / p.sum()) / (q / q.sum()))
     cost = c * len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
     norm = np.array([max(1e-9, np.sqrt((r[x] ** 2).sum())) for x in rows])
-    values = [r[x] / n for x, n in zip(rows, norm)]
     w, bias, a = np.zeros(WIDTH), 0.0, np.zeros(len(y))
-    size = np.array([(v**2).sum() + 1 for v in values])
+    size = np.array([((r[x] / n) ** 2).sum() + 1 for x, n in zip(rows, norm)])
     rng = np.random.default_rng(0)
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(y)):
-            x, v = rows[i], values[i]
+            x = rows[i]
+            v = r[x] / norm[i]  # not kept: the values of all rows are twice as large as the rows
             g = y[i] * (w[x] @ v + bias) - 1
             now = min(max(a[i] - g / size[i], 0), cost[i])
             if step := (now - a[i]) * y[i]:
@@ -137,8 +139,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, label: s
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), xs], names=["doc_id", "y", "x"])
 
     of = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", _tokens(F.col("text")).alias("t"))
-    rows = sorted((r[0], r[1], bytes(r[2])) for r in of.mapInArrow(_forgetting(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary").collect())
-    return fit([np.frombuffer(x, "<i4") for *_, x in rows], np.array([y for _, y, _ in rows]))
+    found = of.mapInArrow(_forgetting(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary").toArrow()
+    ids, ys = found.column("doc_id").to_pylist(), found.column("y").to_pylist()
+    xs = [np.frombuffer(x.as_buffer(), "<i4") for x in found.column("x")]  # views of what came: rows as objects would leave the driver's memory in pieces
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], ys[i]))
+    same = itertools.groupby(order, key=lambda i: (ids[i], ys[i]))
+    order = [i for _, of_one in same for i in sorted(of_one, key=lambda i: xs[i].tobytes())]
+    try:
+        return fit([xs[i] for i in order], np.array([ys[i] for i in order]))
+    finally:
+        del found, xs
+        give_back()
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
